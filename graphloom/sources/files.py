@@ -25,14 +25,14 @@ def detect_language(path):
     return F.try_element_at(table, F.regexp_extract(name, r"^.+\.([^.]+)$", 1))
 
 
-def scan_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, language, content, file_hash) of the source files below ``root``; paths are relative to it.
+def select_sources(spark: SparkSession, files: DataFrame, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, language, content, file_hash) of those files of a binaryFile source that are source code.
 
-    Hidden folders other than ``.github`` and folders of build products are skipped; larger files too.
+    Paths become relative to ``root``. Hidden folders other than ``.github`` and folders of build products are skipped;
+    larger files too. The same rule serves scans and streams.
     """
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     plain = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "^/+", "/")
     rel = F.substr(plain, F.lit(len(full) + 2))
     dirs = F.slice(F.split(rel, "/"), 1, F.size(F.split(rel, "/")) - 1)
@@ -41,6 +41,11 @@ def scan_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> Da
     return out.filter(F.col("language").isNotNull() & ~skipped).select("path", "language", "content", F.sha2("content", 256).alias("file_hash"))
 
 
+def scan_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The source files below ``root``."""
+    return select_sources(spark, spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), root, max_bytes)
+
+
 def changed_files(scanned: DataFrame, nodes: DataFrame) -> DataFrame:
     """(path, change): files that are new, changed by hash, or gone, against the stored File nodes."""
     had = nodes.filter("kind = 'File'").select(F.col("file_path").alias("path"), F.coalesce("file_hash", F.lit("")).alias("old_hash"))

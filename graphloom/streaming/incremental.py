@@ -16,7 +16,7 @@ from ..operators.flows import detect_flows
 from ..operators.store import Snapshots, replace_file_batch
 from ..operators.traverse import cut, resolve_calls
 from ..schema import EDGES, NODES
-from ..sources.files import MAX_BYTES, changed_files, detect_language, scan_files
+from ..sources.files import changed_files, scan_files, select_sources
 from ..sources.parser import parse_files
 
 STREAM_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -61,11 +61,8 @@ def postprocess(store: Snapshots) -> str:
 
 def watch(spark: SparkSession, root: str, store: Snapshots, checkpoint: str, available_now: bool = True):
     """A streaming query that puts new and changed files below ``root`` into the graph."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
     stream = spark.readStream.format("binaryFile").schema(STREAM_SCHEMA).option("recursiveFileLookup", True).load(root)
-    plain = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-    files = stream.filter(F.col("length") <= MAX_BYTES).select(F.substr(plain, F.lit(len(full) + 2)).alias("path"), "content").withColumn("language", detect_language(F.col("path"))).filter("language IS NOT NULL").withColumn("file_hash", F.sha2("content", 256))
+    files = select_sources(spark, stream, root)
 
     def one(batch: DataFrame, _id: int) -> None:
         if not batch.isEmpty():
