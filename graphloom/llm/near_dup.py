@@ -355,7 +355,8 @@ def components(docs: DataFrame, percent: int = 85, **options) -> DataFrame:
     weights = members.groupBy("comp").agg(F.sum("n").alias("weight"))
     members = materialize(members.join(weights, "comp"), "near-members")
     # one row of each class brings its text; equal rows share a key, so they are met once
-    texts = docs.select(row_key().alias("key"), "text").join(members.select("key", "comp", "cid", "min_doc", "weight"), "key").select("comp", "cid", "min_doc", "text", "weight")
+    # (a sort-merge join at every size: the members grow with the documents, so they are never broadcast)
+    texts = docs.select(row_key().alias("key"), "text").join(members.select("key", "comp", "cid", "min_doc", "weight").hint("merge"), "key").select("comp", "cid", "min_doc", "text", "weight")
     part = lambda cond: texts.filter(cond).select("comp", "cid", "min_doc", "text").mapInArrow(_full_sets, "comp long, cid long, min_doc long, x binary")
     exact = part(F.col("weight") <= BIG_SETS).repartition("comp").sortWithinPartitions("comp", "cid").mapInArrow(_exact_components(percent), "cid long, component_id long").dropDuplicates(["cid"])
     if not members.filter(F.col("weight") > BIG_SETS).isEmpty():
@@ -375,4 +376,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     kept = components(docs, **options).filter((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull())
     one = kept.groupBy(F.coalesce("component_id", "key").alias("c"), F.col("doc_id").isNull().alias("u")).agg(F.min("key").alias("__key"))
     n = Window.partitionBy("__key").orderBy("__key")
-    return docs.withColumn("__key", row_key()).join(one.select("__key"), "__key", "left_semi").withColumn("__n", F.row_number().over(n)).filter("__n = 1").select(*docs.columns)
+    return docs.withColumn("__key", row_key()).join(one.select("__key").hint("merge"), "__key", "left_semi").withColumn("__n", F.row_number().over(n)).filter("__n = 1").select(*docs.columns)
