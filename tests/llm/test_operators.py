@@ -365,7 +365,8 @@ def test_packing_round_trip(spark):
             assert o == at
             at += length
         assert at <= 2048
-    assert len(seqs) <= -(-sum(r.length for r in got) // 2048) * 1.1 + 1
+    least = max(-(-sum(r.length for r in got) // 2048), sum(r.length > 1024 for r in got))  # no two of these fit together
+    assert len(seqs) <= least * 1.1 + 1
 
 
 def test_best_fit_is_tight():
