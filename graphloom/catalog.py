@@ -182,7 +182,7 @@ _add("count_flow_memberships", lambda c: FL.count_flow_memberships(c.flows[1]),
 _add("get_flows_list", lambda c: L.get_flows_list(c.flows[0]).select("id", "name", "criticality"), f", {_FLOWS} SELECT id, name, criticality FROM flows")
 _add("get_flow_by_id", lambda c: L.get_flow_by_id(c.flows[0], 1000003).select("id", "name", "node_count"), f", {_FLOWS} SELECT id, name, node_count FROM flows WHERE id=1000003")
 _add("get_flow_ids_by_node_ids", lambda c: L.get_flow_ids_by_node_ids(c.flows[1], c.nodes.filter("id % 7 = 0").select("id")).select("node_id", F.explode("flow_ids").alias("flow_id")), f", {_FLOWS} SELECT node_id, flow_id FROM fm WHERE node_id%7=0")
-_add("flow_criticalities_for_node", lambda c: FL.flow_criticalities_for_node(*c.flows, 1000091), f", {_FLOWS} SELECT flow_id, criticality FROM fm JOIN flows ON id=flow_id WHERE node_id=1000091")
+_add("flow_criticalities_for_node", lambda c: FL.flow_criticalities_for_node(*c.flows, 1000003), f", {_FLOWS} SELECT flow_id, criticality FROM fm JOIN flows ON id=flow_id WHERE node_id=1000003")
 _add("flow_qualified_names", lambda c: FL.flow_qualified_names(c.nodes, c.flows[1], 1000003).select("qualified_name"), f", {_FLOWS} SELECT qualified_name FROM fm JOIN nodes ON id=node_id WHERE flow_id=1000003")
 _add("affected_flows", lambda c: FL.affected_flows(c.nodes, *c.flows, FILES).select("id", "name", "criticality"), f", {_FLOWS} SELECT DISTINCT flows.id, flows.name, criticality FROM flows JOIN fm ON flow_id=flows.id JOIN nodes n ON n.id=node_id WHERE n.file_path IN (" + ",".join(f"'{x}'" for x in FILES) + ")")
 _add("affected_flows_mcp", lambda c: FL.flows_through(c.flows[0], [FN, _T0]).select("id", "name"), f", {_FLOWS} SELECT DISTINCT flows.id, flows.name FROM flows JOIN member m ON m.entry=flows.entry WHERE m.node IN ('{FN}','{_T0}')")
