@@ -50,6 +50,23 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def bounded_batches(df: DataFrame, megabytes: int = 8) -> DataFrame:
+    """Let batches to Python be bounded by bytes, not by rows only, so long texts don't add up in a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+    return df
+
+
+_kept_in_worker: dict = {}
+
+
+def worker_cache(key, make):
+    """What a Python worker keeps between tasks: one model at a time, so stages that share workers don't add up."""
+    if key not in _kept_in_worker:
+        _kept_in_worker.clear()
+        _kept_in_worker[key] = make()
+    return _kept_in_worker[key]
+
+
 def row_key(doc_id="doc_id", text="text"):
     """A 64-bit content key of a row; equal rows get equal keys, so joins on it need no row numbers."""
     return F.xxhash64(F.col(doc_id), F.col(text))

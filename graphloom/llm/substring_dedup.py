@@ -6,7 +6,7 @@
 2. Spark confirms the recurring phrases (those in two documents or more) and sends each document the ones it has.
 3. Documents are dealt into shards; a shard compiles its documents' confirmed phrases into Aho-Corasick automata of
    bounded size (pyahocorasick, over word numbers) and streams its documents through them, which locates every occurrence.
-4. The windows around the occurrences are the only ones that can recur. Their hashes are counted exactly over all
+4. The windows around the occurrences are the only ones that can recur. Their 64-bit hashes are compared over all
    documents, and a word goes if a window that covers it also starts in a document with a smaller doc_id.
 
 Documents with the same word sequence are handled once: every copy but that of the smallest doc_id loses all words (if
@@ -14,8 +14,7 @@ it has a window at all).
 
 Defined results: null text has no words; documents of fewer than ``WINDOW`` words lose nothing; windows are judged on
 the input; a text's windows that recur only within it stay; rows that share a doc_id count as one document for
-"smaller doc_id"; rows without a doc_id are judged as coming last and lose what any other document has, but not
-against each other; an empty table gives an empty table; columns other than doc_id and text are ignored.
+"smaller doc_id"; rows without a doc_id count as one document that comes last; an empty table gives an empty table; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import discard, materialize, row_key
+from .runtime import bounded_batches, discard, materialize, release, row_key
 from .textops import U64, cover, window_hashes, word_bounds, word_hashes
 
 WINDOW = 13
@@ -108,43 +107,46 @@ def locate(docs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     return [np.unique(np.array(w, dtype=np.int64)) for w in found]
 
 
-_WINDOWS = "doc_id long, key long, hash long, second long, starts array<int>"
+_WINDOWS = "doc_id long, key long, hash long, start int, later boolean"
+
+
+def _around(at: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` windows hold a phrase that starts at one of the positions ``at``."""
+    near = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(near, np.maximum(0, at - (WINDOW - PHRASE)), 1)
+    np.add.at(near, np.minimum(n, at + 1), -1)
+    return np.cumsum(near[:-1]) > 0
 
 
 def _shard(batches):
-    """Windows (hash, a second hash, start positions) that hold a located phrase, of each document of the shard."""
+    """Windows (hash, start) that hold a located phrase, of each document of the shard; ``later`` tells those with a
+    phrase that a smaller doc_id has, as the others can't recur in one."""
     for rb in batches:
         step = 256
         for a in range(0, rb.num_rows, step):
             part = rb.slice(a, step)
-            words, wanted = [], []
-            for text, phrases in zip(part.column("text"), part.column("phrases"), strict=True):
+            words, wanted, seen = [], [], []
+            for text, mine, others in zip(part.column("text"), part.column("mine"), part.column("others"), strict=True):
                 words.append(split(text.as_py())[3])
-                wanted.append(phrases.values.to_numpy(zero_copy_only=False).astype(U64, casting="unsafe"))
-            docs, keys, hashes, seconds, starts = [], [], [], [], []
+                mine, others = (x.values.to_numpy(zero_copy_only=False).astype(U64, casting="unsafe") for x in (mine, others))
+                wanted.append(np.concatenate([mine, others]))
+                seen.append(others)
+            ids, keys = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("key").to_numpy(zero_copy_only=False)
+            of, hashes, starts, later = [], [], [], []
             for i, at in enumerate(locate(list(zip(words, wanted, strict=True)))):
                 h = words[i]
                 n = len(h) - WINDOW + 1
                 if n <= 0 or not len(at):
                     continue
-                near = np.zeros(n + 1, dtype=np.int64)
-                np.add.at(near, np.maximum(0, at - (WINDOW - PHRASE)), 1)
-                np.add.at(near, np.minimum(n, at + 1), -1)
-                pos = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-                one = window_hashes(h, WINDOW)[pos].astype(np.int64, casting="unsafe")
-                two = window_hashes(h, WINDOW, 0x2545F4914F6CDD1D)[pos].astype(np.int64, casting="unsafe")
-                order = np.lexsort((pos, two, one))
-                one, two, pos = one[order], two[order], pos[order]
-                cuts = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
-                docs += [part.column("doc_id")[i].as_py()] * len(cuts)
-                keys += [part.column("key")[i].as_py()] * len(cuts)
-                hashes.append(one[cuts])
-                seconds.append(two[cuts])
-                starts += np.split(pos.astype(np.int32), cuts[1:])
+                pos = np.flatnonzero(_around(at, n))
+                again = _around(at[np.isin(window_hashes(h, PHRASE)[at], seen[i])], n)
+                later.append(again[pos])
+                of.append(np.full(len(pos), i))
+                hashes.append(window_hashes(h, WINDOW)[pos].astype(np.int64, casting="unsafe"))
+                starts.append(pos)
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
-            flat = pa.array(np.concatenate(starts) if starts else np.zeros(0, dtype=np.int32), pa.int32())
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in starts])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(cat(hashes), pa.int64()), pa.array(cat(seconds), pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "key", "hash", "second", "starts"])
+            of = cat(of).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[of], pa.int64()), pa.array(keys[of], pa.int64()), pa.array(cat(hashes), pa.int64()), pa.array(cat(starts).astype(np.int32), pa.int32()), pa.array(cat(later).astype(bool), pa.bool_())], names=["doc_id", "key", "hash", "start", "later"])
 
 
 _CUT = "key long, n_removed long, kept_sha256 string, kept_text string"
@@ -170,28 +172,31 @@ def _cut(with_text: bool):
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, key, n_words, n_removed, kept_sha256, kept_text) of every row; kept_text only on demand and only where
     words go."""
-    scanned = materialize(docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(_scan, _SCANNED), "sub-scan")
+    scanned = materialize(bounded_batches(docs.select("doc_id", "text", row_key().alias("key"))).mapInArrow(_scan, _SCANNED), "sub-scan")
+    rows = materialize(scanned.drop("phrases"), "sub-rows")
     order = F.coalesce("doc_id", F.lit(LAST))
     # one row stands for each word sequence: that of the smallest doc_id
-    sequences = scanned.filter(F.col("n_words") >= WINDOW).groupBy("seq_a", "seq_b").agg(F.min(F.struct(order.alias("doc"), "key")).alias("r")).select("seq_a", "seq_b", F.col("r.doc").alias("first_doc"), F.col("r.key").alias("first_key"))
+    sequences = rows.filter(F.col("n_words") >= WINDOW).groupBy("seq_a", "seq_b").agg(F.min(F.struct(order.alias("doc"), "key")).alias("r")).select("seq_a", "seq_b", F.col("r.doc").alias("first_doc"), F.col("r.key").alias("first_key"))
     sequences = materialize(sequences, "sub-sequences")
-    heads = scanned.join(sequences.select(F.col("first_key").alias("key"), F.col("first_doc").alias("doc")).dropDuplicates(["key"]), "key").dropDuplicates(["key"])
+    heads = scanned.select("key", "phrases").join(sequences.select(F.col("first_key").alias("key"), F.col("first_doc").alias("doc")).dropDuplicates(["key"]), "key")
     heads = heads.select("doc", "key", F.explode("phrases").alias("phrase"))
-    # a phrase recurs if it has two documents; rows without doc_id count by their keys
-    ident = lambda: F.struct(F.col("doc"), F.when(F.col("doc") == LAST, F.col("key")).otherwise(F.lit(0)).alias("k"))
-    counts = heads.groupBy("phrase").agg(F.min(ident()).alias("low"), F.max(ident()).alias("high")).filter("low != high").select("phrase")
-    confirmed = heads.join(counts, "phrase").groupBy("doc", "key").agg(F.collect_list("phrase").alias("phrases"))
+    recurring = heads.groupBy("phrase").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("phrase", "low")
+    split_ = lambda cond, name: F.collect_set(F.when(cond, F.col("phrase"))).alias(name)
+    confirmed = heads.join(recurring, "phrase").groupBy("key").agg(split_(F.col("low") == F.col("doc"), "mine"), split_(F.col("low") < F.col("doc"), "others"))
     confirmed = materialize(confirmed, "sub-confirmed")
-    shards = docs.select(row_key().alias("key"), "text").join(confirmed, "key")
-    windows = materialize(shards.select(F.col("doc").alias("doc_id"), "key", "text", "phrases").mapInArrow(_shard, _WINDOWS), "sub-windows")
+    discard(scanned)
+    texts = docs.select(order.alias("doc_id"), row_key().alias("key"), "text").join(confirmed.hint("merge"), "key")
+    texts = materialize(texts, "sub-texts")
     discard(confirmed)
-    firsts = windows.groupBy("hash", "second").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc").drop("last_doc")
-    gone = windows.join(firsts, ["hash", "second"]).filter("first_doc < doc_id").groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    windows = materialize(texts.mapInArrow(_shard, _WINDOWS), "sub-windows")
+    release(docs.sparkSession)
+    firsts = windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc"))
+    gone = windows.filter("later").select("key", "doc_id", "hash", "start").join(firsts, "hash").filter("first_doc < doc_id").groupBy("key").agg(F.collect_list("start").alias("starts"))
     gone = materialize(gone, "sub-gone")
     discard(windows)
-    cut = docs.select(row_key().alias("key"), "text").join(gone, "key").mapInArrow(_cut(with_text), _CUT).dropDuplicates(["key"])
+    cut = texts.select("key", "text").join(gone.hint("merge"), "key").mapInArrow(_cut(with_text), _CUT).dropDuplicates(["key"])
     # copies: everything goes if a smaller doc_id has the same words; else what goes from the row that stands for them
-    every = scanned.select("doc_id", "key", "n_words", "kept_sha256", "seq_a", "seq_b").join(sequences, ["seq_a", "seq_b"], "left")
+    every = rows.join(sequences, ["seq_a", "seq_b"], "left")
     cut = cut.select(F.col("key").alias("first_key"), "n_removed", F.col("kept_sha256").alias("cut_sha256"), "kept_text")
     copy = order > F.col("first_doc")
     return every.join(cut, "first_key", "left").select(
