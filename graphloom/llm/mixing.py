@@ -116,7 +116,9 @@ def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 1024, seed: i
     low = F.greatest(F.col("start"), F.col("block") * block_words)
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
     blocks = blocks.select("source_no", "block", "row_id", (low - F.col("start")).alias("first_word"), (high - low).alias("words"))
-    segments = blocks.join(plan(sources, block_words, shard_slots, seed), ["source_no", "block"]).select("row_id", "shard", "slot", "epoch", "first_word", "words")
+    # slots come from a few source rows, so the planner takes them for small: a sort-merge join, never a broadcast
+    slots = plan(sources, block_words, shard_slots, seed).hint("merge")
+    segments = blocks.join(slots, ["source_no", "block"]).select("row_id", "shard", "slot", "epoch", "first_word", "words")
     return full, segments
 
 
@@ -138,7 +140,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     key = F.xxhash64("doc_id", "source", "text")
     one = Window.partitionBy("__key").orderBy("__key")
     texts = docs.withColumn("__key", key).withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
-    out = texts.join(taken.withColumnRenamed("row_hash", "__key"), "__key").withColumn("__words", F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), WORD_SEPARATORS)).withColumn("__parts", F.explode("__takes"))
+    out = texts.join(taken.withColumnRenamed("row_hash", "__key").hint("merge"), "__key").withColumn("__words", F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), WORD_SEPARATORS)).withColumn("__parts", F.explode("__takes"))
     # the word array is named twice so that the optimizer keeps it as a column, not once for each part
     piece = lambda p: F.slice("__words", F.least(p["first_word"].cast("int") + 1, F.size("__words")), p["words"].cast("int"))
     out = out.withColumn("text", F.array_join(F.flatten(F.transform("__parts", piece)), " "))
