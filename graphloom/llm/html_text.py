@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import bounded_batches
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)[^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements whose content is never text.
@@ -196,7 +198,12 @@ def fit(pages: list[str]) -> dict[str, float]:
 
 def train(pages: DataFrame, sample_pages: int = 400) -> dict[str, float]:
     """Fit on at most ``sample_pages`` pages, chosen by a hash of page_id and url."""
-    rows = pages.select("page_id", "url", "html").filter(F.col("html").contains(f"<{LABEL}")).orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample_pages).collect()
+    labelled = pages.filter(F.col("html").contains(f"<{LABEL}")).select("page_id", "url", "html")
+    # ids are ranked first, so no task sends the driver more than ids; at most sample_pages of them are broadcast
+    chosen = labelled.select("page_id", "url").dropDuplicates().orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample_pages)
+    match = labelled["page_id"].eqNullSafe(F.col("c_id")) & labelled["url"].eqNullSafe(F.col("c_url"))
+    rows = labelled.join(F.broadcast(chosen.toDF("c_id", "c_url")), match, "left_semi").groupBy("page_id", "url").agg(F.min("html").alias("html")).collect()
+    rows.sort(key=lambda r: (repr(r.page_id), r.url or ""))
     return fit([r.html for r in rows])
 
 
@@ -209,4 +216,4 @@ def report(pages: DataFrame, **options) -> DataFrame:
             texts = [extract(v.as_py(), weights) for v in rb.column("html")]
             yield pa.RecordBatch.from_arrays([rb.column("page_id"), rb.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return bounded_batches(pages.select("page_id", "url", "html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
