@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import bounded_batches, worker_cache
 from .textops import U64, mix64
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -106,7 +107,7 @@ def words_of(text: str | None) -> list[str]:
 class Scorer:
     """Language posteriors of texts; keeps the scores of words it has met, up to ``limit`` of them."""
 
-    def __init__(self, path: str, languages: list[str], probs: np.ndarray, limit: int = 300_000):
+    def __init__(self, path: str, languages: list[str], probs: np.ndarray, limit: int = 120_000):
         self.pieces, self.languages, self.probs, self.limit = Pieces(path), languages, probs, limit
         self.known: dict[str, int] = {}
         self.table = np.zeros((1 << 14, len(languages)))
@@ -139,9 +140,6 @@ class Scorer:
         return out
 
 
-_scorers: dict = {}
-
-
 def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
@@ -158,9 +156,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = 400
     sample = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text")
 
     def count(batches):
-        if path not in _scorers:
-            _scorers[path] = Pieces(path)
-        pieces = _scorers[path]
+        pieces = worker_cache(("pieces", path), lambda: Pieces(path))
         totals: dict[str, np.ndarray] = {}
         for rb in batches:
             for lang, text in zip(rb.column("lang"), rb.column("text"), strict=True):
@@ -175,7 +171,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = 400
             ns.append(c[at])
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(ids) if ids else [], pa.int32()), pa.array(np.concatenate(ns) if ns else [], pa.int64())], names=["lang", "piece", "n"])
 
-    rows = sample.mapInArrow(count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
+    rows = bounded_batches(sample).mapInArrow(count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.lang for r in rows})
     probs = np.full((Pieces(path).size, len(languages)), smoothing)
     column = {x: i for i, x in enumerate(languages)}
@@ -192,17 +188,16 @@ def identify(docs: DataFrame, languages: list[str], probs: np.ndarray, vocabular
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
-        key = (path, *model.value[0], zlib.crc32(np.ascontiguousarray(model.value[1])))
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(path, *model.value)
-        scorer = _scorers[key]
+        key = ("scorer", path, *model.value[0], zlib.crc32(np.ascontiguousarray(model.value[1])))
+        scorer = worker_cache(key, lambda: Scorer(path, *model.value))
         for rb in batches:
-            found = scorer.predict([v.as_py() for v in rb.column("text")])
+            found = []
+            for a in range(0, rb.num_rows, 128):  # a few texts at a time become Python strings
+                found += scorer.predict(rb.column("text").slice(a, 128).to_pylist())
             yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in keep), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     need = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*need).mapInArrow(run, f"{types}, lang_pred string, score double")
+    return bounded_batches(docs.select(*need)).mapInArrow(run, f"{types}, lang_pred string, score double")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import bounded_batches
 from .textops import cover, window_hashes, word_bounds, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
@@ -213,7 +214,7 @@ def judge(docs: DataFrame, weights: np.ndarray, step: float, min_share: float =
             types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[x.split()[0] for x in _JUDGED.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _JUDGED)
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, _JUDGED)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import discard, materialize, row_key
+from .runtime import bounded_batches, discard, materialize, row_key
 from .textops import U64, ascii_lower, mix64, window_hashes, word_bounds, word_hashes
 
 WORDS = 5
@@ -347,7 +347,7 @@ def _full_sets(batches):
 
 def components(docs: DataFrame, percent: int = 85, **options) -> DataFrame:
     """(doc_id, key, n_shingles, component_id) of every row; links are those with 100 * intersection >= percent * union."""
-    signed = materialize(docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(_sign, _SIGNED), "near-signed")
+    signed = materialize(bounded_batches(docs.select("doc_id", "text", row_key().alias("key"))).mapInArrow(_sign, _SIGNED), "near-signed")
     some = signed.filter("cid IS NOT NULL")
     classes = materialize(some.groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("r"), F.first("mh").alias("mh"), F.max("n_shingles").alias("n")).select("cid", F.col("r.doc_id").alias("min_doc"), F.col("r.key").alias("key"), "mh", "n"), "near-classes")
     comps = materialize(connected(candidates(classes, **options)).select(F.col("node").alias("cid"), F.col("label").alias("comp")), "near-comps")

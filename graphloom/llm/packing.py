@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import bounded_batches, materialize, worker_cache
 
 CAPACITY = 2048
 END = 0
@@ -38,7 +38,7 @@ class Encoder:
     """Token ids of texts, equal to the tokenizer's own, by words: merges never cross white space, so the ids of a
     word are found once and kept (up to ``limit`` words). Ids are bytes, little-endian unsigned 32 bits each."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -90,13 +90,8 @@ class Encoder:
             return b"".join(map(known.__getitem__, words))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return worker_cache(("encoder", path), lambda: Encoder(path))
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -119,7 +114,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, _PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import discard, materialize, row_key
+from .runtime import bounded_batches, discard, materialize, row_key
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -197,7 +197,7 @@ def bootstrap(found: DataFrame, rounds: int = 3, min_support: int = 3, min_patte
 
 def extract(docs: DataFrame, **options) -> DataFrame:
     """All spans of each row: doc_id, key, the base counts and digest, base spans, and ``spans`` (base and discovered)."""
-    scanned = materialize(docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(_scan, _SCANNED), "pii-scan")
+    scanned = materialize(bounded_batches(docs.select("doc_id", "text", row_key().alias("key"))).mapInArrow(_scan, _SCANNED), "pii-scan")
     each = scanned.select("doc_id", "key", F.explode("mentions").alias("m")).select("doc_id", "key", "m.*")
     known = bootstrap(each.select("instance", "kind", "kinds", F.explode("patterns").alias("pattern")), **options)
     base = scanned.drop("mentions")
@@ -227,7 +227,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     spans = materialize(extract(docs).filter("size(spans) > 0").select("key", "spans").dropDuplicates(["key"]), "pii-spans")
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    joined = docs.select(*docs.columns, row_key().alias("__key")).join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left").drop("__key")
+    joined = docs.select(*docs.columns, row_key().alias("__key")).join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).hint("merge"), "__key", "left").drop("__key")
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)])
 
     def mask(batches):
@@ -247,4 +247,4 @@ def redact(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([arrays[c] for c in docs_columns], names=docs_columns)
 
     docs_columns = docs.columns
-    return joined.mapInArrow(mask, schema)
+    return bounded_batches(joined).mapInArrow(mask, schema)
