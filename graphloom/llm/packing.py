@@ -38,7 +38,7 @@ class Encoder:
     """Token ids of texts, equal to the tokenizer's own, by words: merges never cross white space, so the ids of a
     word are found once and kept (up to ``limit`` words). Ids are bytes, little-endian unsigned 32 bits each."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
