@@ -36,9 +36,10 @@ def default_vocabulary() -> str:
 
 class Encoder:
     """Token ids of texts, equal to the tokenizer's own, by words: merges never cross white space, so the ids of a
-    word are found once and kept (up to ``limit`` words). Ids are bytes, little-endian unsigned 32 bits each."""
+    word are found once and kept. A memory of over ``limit`` entries becomes the old one, from which words in use come
+    back, so frequent words stay known. Ids are bytes, little-endian unsigned 32 bits each."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 120_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -48,46 +49,61 @@ class Encoder:
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
         self.words: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
         self.units: dict[str, bytes] = {}
+        self.old_units: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.words) > self.limit:
-            self.words.clear()
-        if len(self.units) > self.limit:
-            self.units.clear()
-        split: dict[bytes, list[str]] = {}
-        for w in words:
-            s = w.decode("utf-8", "surrogatepass")
-            if PLAIN.fullmatch(s) and "<|" not in s:
-                split[w] = UNITS.findall(s.lower())
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn_units(self, units: set[str]) -> None:
+        fresh = []
+        for u in units:
+            ids = self.old_units.get(u)
+            if ids is None:
+                fresh.append(u)
             else:
-                self.words[w] = self._ids(s).tobytes()
-        fresh = list(dict.fromkeys(u for units in split.values() for u in units if u not in self.units))
+                self.units[u] = ids
         for a in range(0, len(fresh), 100):
             part = fresh[a : a + 100]
             ids = self._ids(" ".join(part))
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and cuts[-1] == len(ids):
-                self.units.update((u, x.tobytes()) for u, x in zip(part, np.split(ids, cuts[:-1]), strict=True))
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            if len(cuts) == len(part) and cuts[-1] == len(data):
+                self.units.update((u, data[i:j]) for u, i, j in zip(part, [0, *cuts], cuts, strict=False))
             else:
                 self.units.update((u, self._ids(u).tobytes()) for u in part)
+
+    def _learn(self, words: set[bytes]) -> None:
+        split: dict[bytes, list[str]] = {}
+        for w in words:
+            ids = self.old_words.get(w)
+            if ids is not None:
+                self.words[w] = ids
+            elif w.isalpha():  # ASCII letters are one unit
+                split[w] = [w.decode().lower()]
+            else:
+                s = w.decode("utf-8", "surrogatepass")
+                if PLAIN.fullmatch(s) and "<|" not in s:
+                    split[w] = UNITS.findall(s.lower())
+                else:
+                    self.words[w] = self._ids(s).tobytes()
+        self._learn_units({u for units in split.values() for u in units}.difference(self.units))
+        known = self.units
         for w, units in split.items():
-            self.words[w] = b"".join([self.units[u] for u in units])
+            self.words[w] = b"".join([known[u] for u in units])
+        if len(known) > self.limit:
+            self.old_units, self.units = known, {}
 
     def encode(self, text: str) -> bytes:
         words = text.encode("utf-8", "surrogatepass").split()
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            self._learn([w for w in dict.fromkeys(words) if w not in self.words])
-            known = self.words
-            missing = [w for w in dict.fromkeys(words) if w not in known]  # the memory was emptied meanwhile
-            if missing:
-                self._learn(missing)
-            return b"".join(map(known.__getitem__, words))
+        missing = set(words).difference(self.words)
+        if missing:
+            self._learn(missing)
+        data = b"".join(map(self.words.__getitem__, words))
+        if len(self.words) > self.limit:
+            self.old_words, self.words = self.words, {}
+        return data
 
 
 def encoder(path: str) -> Encoder:
