@@ -1,8 +1,7 @@
 """Document fingerprints: I-Match with randomised lexicons, in DataFrame functions only.
 
 Terms are lower-cased runs of letters and digits, kept as 64-bit hashes. The lexicon holds the terms whose document
-frequency lies in a band (so their inverse document frequency does), one term a hash slot, so its size is bounded by
-``slots`` whatever the corpus. A text's fingerprint hashes its sorted distinct lexicon terms, once for the whole
+frequency lies in a band (so their inverse document frequency does); the band bounds its size. A text's fingerprint hashes its sorted distinct lexicon terms, once for the whole
 lexicon and once for each of ``subsets`` random sub-lexicons; likeness is the share of equal hashes.
 
 Defined results: null text is empty text; a text without lexicon terms is fingerprinted by its whole content, so
@@ -28,15 +27,16 @@ def term_hashes(text):
 
 
 def lexicon(docs: DataFrame, low: float = 0.002, high: float = 0.1, min_docs: int = 2, slots: int = 1 << 16) -> DataFrame:
-    """One row, one column ``lex``: an array with the lexicon's term hash of each slot, null where it has none.
+    """One row, one column ``lex``: an array with the lexicon's term hashes of each slot, null where it has none.
 
-    Document frequencies are counted over all rows. At most (terms a document) / ``low`` terms reach the band.
+    Document frequencies are counted over all rows. Every term of the band is kept: slots only speed up the lookup, and
+    the band itself bounds the lexicon, as at most (terms a document) / ``low`` terms reach it.
     """
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     df = docs.select(F.explode(term_hashes(F.coalesce("text", F.lit("")))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     n_docs = n.scalar()
     kept = df.filter((F.col("df") >= F.greatest(F.lit(min_docs), F.ceil(n_docs * low))) & (F.col("df") <= F.greatest(F.lit(min_docs), n_docs * high)))
-    per_slot = kept.groupBy(F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min("h").alias("h"))
+    per_slot = kept.groupBy(F.pmod("h", F.lit(slots)).alias("slot")).agg(F.array_sort(F.collect_list("h")).alias("h"))
     every = docs.sparkSession.range(slots).withColumnRenamed("id", "slot")
     dense = every.join(per_slot, "slot", "left")
     return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "h"))), lambda x: x["h"]).alias("lex"))
@@ -45,7 +45,7 @@ def lexicon(docs: DataFrame, low: float = 0.002, high: float = 0.1, min_docs: in
 def fingerprint_columns(df: DataFrame, text: str, lex, slots: int, subsets: int, drop_percent: int, out: str) -> DataFrame:
     """Add ``out``: the hashes of the whole lexicon and of each sub-lexicon, as hex, joined by '-'."""
     # a subquery may not stand inside a lambda; as a column used once it is folded into it and never becomes row data
-    in_lexicon = lambda h: F.coalesce(F.get("__lex", F.pmod(h, F.lit(slots)).cast("int")) == h, F.lit(False))
+    in_lexicon = lambda h: F.coalesce(F.array_contains(F.get("__lex", F.pmod(h, F.lit(slots)).cast("int")), h), F.lit(False))
     df = df.withColumn("__lex", lex).withColumn("__terms", F.array_sort(F.filter(term_hashes(F.coalesce(F.col(text), F.lit(""))), in_lexicon))).drop("__lex")
     hexed = lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")
     whole = F.xxhash64(F.lit("text"), F.coalesce(F.col(text), F.lit("")))

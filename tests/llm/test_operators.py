@@ -142,6 +142,15 @@ def test_imatch_edits_and_likeness(spark):
     assert got[200].fingerprint == got[201].fingerprint and got[200].near_next == 1.0 and 0 <= got[0].near_next <= 1
 
 
+def test_imatch_lexicon_keeps_every_term_of_the_band(spark):
+    rows = [(i, f"word{i // 2} term{i // 4}") for i in range(400)]
+    lex = imatch.lexicon(table(spark, rows), slots=16).first().lex
+    assert len(lex) == 16 and sum(len(x or []) for x in lex) == 300
+    pairs = [(i, f"common word{i // 2}") for i in range(400)]  # two texts are equal only if their word is
+    got = imatch.report(table(spark, pairs), slots=16).collect()
+    assert len({r.fingerprint for r in got}) == 200
+
+
 def test_mixing_targets_and_permutation(spark):
     rng = random.Random(7)
     rows = [(i, prose(rng, 200 + i), None, ["a", "b", "c", None][i % 4] if i % 3 else "a") for i in range(200)]
