@@ -1,8 +1,10 @@
 """Document fingerprints: I-Match with randomised lexicons, in DataFrame functions only.
 
 Terms are lower-cased runs of letters and digits, kept as 64-bit hashes. The lexicon holds the terms whose document
-frequency lies in a band (so their inverse document frequency does); the band bounds its size. A text's fingerprint hashes its sorted distinct lexicon terms, once for the whole
-lexicon and once for each of ``subsets`` random sub-lexicons; likeness is the share of equal hashes.
+frequency lies in a band (so their inverse document frequency does); the band bounds its size. A text's fingerprint hashes
+its sorted distinct lexicon terms, once for the whole lexicon and once for each random sub-lexicon: up to ``subsets``
+that each keep one in 4,096, in 512, in 64 and in 16 of the terms. Likeness is the share of equal hashes over the
+sub-lexicons that aren't empty for both texts, the sparsest first.
 
 Defined results: null text is empty text; a text without lexicon terms is fingerprinted by its whole content, so
 equal texts always have equal fingerprints; documents that share a doc_id are ordered by a hash of the text; rows
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .runtime import materialize
 
+#: Sub-lexicons of a level keep one in so many terms, picked by bits of the term's hash; sparsest first.
+PARTS = (4096, 512, 64, 16)
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
@@ -42,25 +46,56 @@ def lexicon(docs: DataFrame, low: float = 0.002, high: float = 0.1, min_docs: in
     return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "h"))), lambda x: x["h"]).alias("lex"))
 
 
-def fingerprint_columns(df: DataFrame, text: str, lex, slots: int, subsets: int, drop_percent: int, out: str) -> DataFrame:
-    """Add ``out``: the hashes of the whole lexicon and of each sub-lexicon, as hex, joined by '-'."""
+# lambdas given to Spark may not have parameters with defaults, as Spark fills a second one with the element's index
+def _part(h, shift: int, parts: int):
+    return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(parts - 1).cast("long"))
+
+
+def _below(shift: int, parts: int, n: int):
+    return lambda h: _part(h, shift, parts) < n
+
+
+def _mark(level: str, shift: int, parts: int):
+    """Sub-lexicon number -> its hash as 8 hex digits, nothing if no term of the text is in it."""
+
+    def mark(k):
+        found = F.filter(level, lambda h: _part(h, shift, parts) == k)
+        return F.when(F.exists(level, lambda h: _part(h, shift, parts) == k), F.right(F.lpad(F.lower(F.hex(F.xxhash64(found))), 16, "0"), F.lit(8))).otherwise(F.lit(""))
+
+    return mark
+
+
+def fingerprint_columns(df: DataFrame, text: str, lex, slots: int, subsets: int, out: str) -> DataFrame:
+    """Add ``out``: the hash of the whole lexicon's terms (16 hex digits), then of each sub-lexicon's (8, nothing if it has none), joined by '-'."""
     # a subquery may not stand inside a lambda; as a column used once it is folded into it and never becomes row data
     in_lexicon = lambda h: F.coalesce(F.array_contains(F.get("__lex", F.pmod(h, F.lit(slots)).cast("int")), h), F.lit(False))
     df = df.withColumn("__lex", lex).withColumn("__terms", F.array_sort(F.filter(term_hashes(F.coalesce(F.col(text), F.lit(""))), in_lexicon))).drop("__lex")
     hexed = lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")
     whole = F.xxhash64(F.lit("text"), F.coalesce(F.col(text), F.lit("")))
-    hashes = [F.when(F.size("__terms") == 0, whole).otherwise(F.xxhash64(F.lit("all"), F.col("__terms")))]
-    for k in range(subsets):
-        part = F.filter("__terms", lambda h, k=k: F.pmod(F.xxhash64(h, F.lit(k)), F.lit(100)) >= drop_percent)
-        df = df.withColumn(f"__part{k}", part)
-        hashes.append(F.when(F.size(f"__part{k}") == 0, whole).otherwise(F.xxhash64(F.lit(k), F.col(f"__part{k}"))))
-    return df.withColumn(out, F.concat_ws("-", *(hexed(h) for h in hashes))).drop("__terms", *(f"__part{k}" for k in range(subsets)))
+    hashes, shift = [F.array(hexed(F.when(F.size("__terms") == 0, whole).otherwise(F.xxhash64(F.lit("all"), F.col("__terms")))))], 0
+    for parts in PARTS:
+        n, level = min(subsets, parts), f"__level{parts}"
+        df = df.withColumn(level, F.filter("__terms", _below(shift, parts, n)))
+        hashes.append(F.transform(F.array(*(F.lit(k).cast("long") for k in range(n))), _mark(level, shift, parts)))
+        shift += parts.bit_length() - 1
+    return df.withColumn(out, F.array_join(F.concat(*hashes), "-")).drop("__terms", *(f"__level{parts}" for parts in PARTS))
 
 
-def likeness(a, b):
-    """Share of equal hashes of two fingerprints, 0 to 1."""
+def likeness(a, b, subsets: int, enough: int = 16):
+    """Share of equal hashes of two fingerprints over the sub-lexicons that are not empty for both, 0 to 1.
+
+    The sparsest sub-lexicons are used first, denser ones only until ``enough`` are not empty for both, so long and short
+    texts are compared with a few terms a sub-lexicon; if all are empty for both, the whole lexicon's hash decides.
+    """
     pairs = F.arrays_zip(F.split(a, "-").alias("a"), F.split(b, "-").alias("b"))
-    return F.size(F.filter(pairs, lambda p: p["a"] == p["b"])) / F.size(F.split(a, "-"))
+    seen = lambda n: F.filter(F.slice(pairs, 2, n), lambda p: (p["a"] != "") | (p["b"] != ""))
+    share = lambda n: F.size(F.filter(seen(n), lambda p: p["a"] == p["b"])) / F.size(seen(n))
+    ends = [sum(min(subsets, p) for p in PARTS[: i + 1]) for i in range(len(PARTS))]
+    out = F.when(F.size(seen(ends[0])) >= enough, share(ends[0]))
+    for n in ends[1:-1]:
+        out = out.when(F.size(seen(n)) >= enough, share(n))
+    whole = F.when(F.substring_index(a, "-", 1) == F.substring_index(b, "-", 1), 1.0).otherwise(0.0)
+    return out.when(F.size(seen(ends[-1])) > 0, share(ends[-1])).otherwise(whole)
 
 
 def with_next(df: DataFrame, columns: list[str], rows_a_bucket: int = 1000, max_buckets: int = 4096) -> DataFrame:
@@ -85,16 +120,16 @@ def with_next(df: DataFrame, columns: list[str], rows_a_bucket: int = 1000, max_
     return both.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).filter("__ghost = 0").drop("__ghost", "__bucket")
 
 
-def report(docs: DataFrame, slots: int = 1 << 16, subsets: int = 6, drop_percent: int = 30) -> DataFrame:
+def report(docs: DataFrame, slots: int = 1 << 16, subsets: int = 64) -> DataFrame:
     """The digest columns of query op3."""
     docs = docs.select("doc_id", "text")
     table = materialize(lexicon(docs, slots=slots), "imatch-lexicon")
     lex = table.scalar()
-    mark = lambda df, text, out: fingerprint_columns(df, text, lex, slots, subsets, drop_percent, out)
+    mark = lambda df, text, out: fingerprint_columns(df, text, lex, slots, subsets, out)
     both = with_next(mark(docs, "text", "fingerprint"), ["text", "fingerprint"])
     text, after = F.coalesce("text", F.lit("")), F.coalesce("next_text", F.lit(""))
     n = F.length(text)
     half = F.floor(n / 2).cast("int")
     both = both.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.substring(text, F.lit(1), n - half), F.substring(after, F.lit(1), half)).alias("edited"), "fingerprint", "next_fingerprint")
     both = mark(both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)), "edited", "edited_fingerprint")
-    return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), subsets).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint"), subsets).alias("near_next"))

@@ -151,6 +151,17 @@ def test_imatch_lexicon_keeps_every_term_of_the_band(spark):
     assert len({r.fingerprint for r in got}) == 200
 
 
+@pytest.mark.parametrize("n", [20, 80, 1000])
+def test_imatch_tells_half_replaced_texts_from_others(spark, n):
+    rng = random.Random(n)
+    words = [f"w{i}" for i in range(40 * n)]
+    rows = [(i, " ".join(rng.sample(words, n))) for i in range(200)]
+    got = imatch.report(table(spark, rows)).collect()
+    edited, after = [r.near_edited for r in got], [r.near_next for r in got]
+    assert sum(edited) / len(got) > 0.15 and sum(after) / len(got) < 0.06
+    assert sum(a > b for a, b in zip(edited, after, strict=True)) > 0.9 * len(got)
+
+
 def test_mixing_targets_and_permutation(spark):
     rng = random.Random(7)
     rows = [(i, prose(rng, 200 + i), None, ["a", "b", "c", None][i % 4] if i % 3 else "a") for i in range(200)]
