@@ -39,6 +39,19 @@ NAMES = frozenset(
 )
 INLINE = frozenset({"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"})
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
+#: Elements that end an open p, and those within which an outer p, list item, table part or option is not seen (HTML's scopes).
+BLOCK = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+SCOPES = {
+    "in p": frozenset({"button", "caption", "table", "td", "th"}),
+    "in list": (BLOCK | {"body", "button", "caption", "table", "tbody", "td", "tfoot", "th", "thead", "tr"}) - {"address", "div", "p", "li", "dd", "dt", "hr"},
+    "in table": frozenset({"table"}),
+    "in select": frozenset({"datalist"}),
+}
+SCOPE = {"p": "in p", **dict.fromkeys(("li", "dd", "dt"), "in list"), **dict.fromkeys(("tr", "td", "th", "thead", "tbody", "tfoot"), "in table"), "option": "in select", "optgroup": "in select"}
+LIMITS_OF = {name: tuple(scope for scope, names in SCOPES.items() if name in names) for name in frozenset().union(*SCOPES.values())}
+_ROWS = (("thead", "tbody", "tfoot"), ("tr",), ("td", "th"))
+#: Which open elements an opening tag ends, one group after the other.
+ENDS = {name: (("p",),) for name in BLOCK} | {"li": (("li",), ("p",)), "dd": (("dd", "dt"), ("p",)), "dt": (("dd", "dt"), ("p",)), "tr": _ROWS[1:], "td": _ROWS[2:], "th": _ROWS[2:], "option": (("option",),), "optgroup": (("option",), ("optgroup",))} | dict.fromkeys(_ROWS[0], _ROWS)
 LABEL = "article"
 #: Weights used without labelled pages.
 DEFAULT_WEIGHTS = {"nav": -40.0, "li": -6.0, "a": -3.0, "ul": -8.0, "footer": -40.0, "header": -40.0, "aside": -40.0, "form": -40.0, "div": -3.0, "p": -0.5, "br": -0.2, "h1": -0.5, "h2": -0.5, "h3": -0.5, "b": -0.1, "i": -0.1, "body": -60.0, "html": -60.0, "article": -60.0, "main": -60.0}
@@ -85,25 +98,44 @@ def feature(kind: str, name: str, attributes: str) -> str:
 
 
 def excluded(toks: list[tuple[str, str, str]]) -> list[bool]:
-    """Which tokens lie in an element that is not prose. An element that is never closed ends where its parent does."""
+    """Which tokens lie in an element that is not prose. An element that is never closed ends where its parent does, or
+    where HTML says that an opening tag ends it (``ENDS``). Linear: every element is pushed and popped once."""
     out, stack, off = [], [], 0
+    at: dict[str, list[int]] = {}  # places of the open elements of each name and, under the scope's set, of its limits
+
+    def pop_to(i):
+        nonlocal off
+        while len(stack) > i:
+            name, bad = stack.pop()
+            off -= bad
+            for key in (name, *LIMITS_OF.get(name, ())):
+                at[key].pop()
+
+    def innermost(name):
+        """Place of the last open element of that name, -1 if there is none or a limit of its scope lies within it."""
+        i = at[name][-1] if at.get(name) else -1
+        limits = at.get(SCOPE[name]) if name in SCOPE else None
+        return -1 if limits and limits[-1] > i else i
+
     for kind, name, content in toks:
         if kind == "open":
+            for ended in ENDS.get(name, ()):
+                i = max(innermost(x) for x in ended)
+                if i >= 0:
+                    pop_to(i)
             bad = name in RAW or name in ASIDE or name not in ("body", "html", "main", LABEL) and named(content)
             if name not in VOID and not content.rstrip().endswith("/"):
+                for key in (name, *LIMITS_OF.get(name, ())):
+                    at.setdefault(key, []).append(len(stack))
                 stack.append((name, bad))
                 off += bad
             out.append(off > 0)
-        elif kind == "close":
-            out.append(off > 0)
-            if any(s == name for s, _ in stack[-64:]):
-                while stack:
-                    s, bad = stack.pop()
-                    off -= bad
-                    if s == name:
-                        break
         else:
             out.append(off > 0)
+            if kind == "close":
+                i = innermost(name)
+                if i >= 0:
+                    pop_to(i)
     return out
 
 

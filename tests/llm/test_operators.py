@@ -211,6 +211,38 @@ def test_html_text(spark):
     assert html_text.report(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "aside",
+    [
+        "<nav><ul>" + "<li>menu <span>entry" * 200 + "</ul></nav>",
+        "<div class=comments>" + "<p>some reader says so" * 200 + "</div>",
+        "<aside>" + "<b>" * 100 + "x</aside>",
+        "<aside><dl>" + "<dt>a<dd>b" * 100 + "</dl><table>" + "<tr><td>1<td>2" * 100 + "</table></aside>",
+        "<ul><li class=ad>buy<li>",
+    ],
+)
+def test_html_elements_that_are_never_closed(aside):
+    article = "<article><p>the text itself<p>and more of it</article>"
+    page = f"<html><body>{aside}{article}</body></html>"
+    toks = html_text.tokens(page)
+    kept = [t[2] for t, off in zip(toks, html_text.excluded(toks), strict=True) if t[0] == "text" and not off]
+    assert kept == ["the text itself", "and more of it"]
+    assert html_text.extract(page, html_text.DEFAULT_WEIGHTS) == "the text itself and more of it"
+    nested = html_text.tokens("<div>" * 100000 + "<p>a" * 100000 + "</div>" * 100000)
+    assert not any(html_text.excluded(nested))
+
+
+def test_html_scopes():
+    def kept(page):
+        toks = html_text.tokens(page)
+        return " ".join(t[2] for t, off in zip(toks, html_text.excluded(toks), strict=True) if t[0] == "text" and not off)
+
+    assert kept("<ul><li class=ad>a<ul><li>b<li>c</ul>d<li>e</ul>f") == "e f"  # an inner list does not end the outer item
+    assert kept("<table><tr><td class=ad>a<table><tr><td>b</table>c<td>d</table>e") == "d e"
+    assert kept("<p class=ad>a<div>b</div>") == "b" and kept("<div class=ad><p>a</div>b") == "b"
+    assert kept("<li class=ad><div>a</div></li>b") == "b" and kept("<nav>a</li>b</nav>c") == "c"
+
+
 def test_best_run_equals_all_runs():
     rng = random.Random(9)
     for _ in range(300):
