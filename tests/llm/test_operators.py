@@ -391,6 +391,23 @@ def test_secret_network_learns(spark):
     assert sum("cnn:" in got[i].spans for i in range(0, 200, 2)) <= 5
 
 
+def test_secret_threshold_keeps_the_recall_of_low_scores(monkeypatch):
+    rng = np.random.default_rng(21)
+    y = np.r_[np.ones(40), np.zeros(800)]  # findings are a minority and hard to tell
+    z = rng.normal(0, 1, 840) + 0.7 * y
+    monkeypatch.setattr(secrets_cnn.Network, "logits", lambda self, x: z)
+    net = secrets_cnn.Network()
+    net.calibrate(np.zeros((840, secrets_cnn.LENGTH), dtype=np.int64), y, 0.95)
+    p = net.probabilities(None)
+    assert p[y == 1].max() < 0.5 and (p >= net.threshold)[y == 1].mean() >= 0.95 and net.recall >= 0.95
+
+
+def test_secret_network_of_few_findings(spark):
+    rows = [(i, prose(random.Random(i), 20) + (f" token = {hashlib.sha1(str(i).encode()).hexdigest()}" if i < 4 else f" 2024-11-{i:05d}-page.html")) for i in range(60)]
+    net = secrets_cnn.train(table(spark, rows))
+    assert net is not None and net.threshold <= 1 and net.recall == 1.0
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
