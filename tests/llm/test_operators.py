@@ -408,6 +408,31 @@ def test_secret_network_of_few_findings(spark):
     assert net is not None and net.threshold <= 1 and net.recall == 1.0
 
 
+def test_secret_windows_cover_every_candidate():
+    text = "see /api/v1/" + "long/" * 40 + "cfg/key.name.abcdefgh and correct-horse or pwd=hunter2x é"
+    found = [text[a:b] for a, b in secrets_cnn.candidates(text)]
+    assert [x[-12:] for x in found] == ["ame.abcdefgh", "orrect-horse", "pwd=hunter2x"]
+    for n in (8, 56, 57, 84, 85, 500):
+        spans = secrets_cnn.pieces(3, 3 + n)
+        assert {i for a, b in spans for i in range(a, b)} == set(range(3, 3 + n)) and all(b - a <= secrets_cnn.BODY for a, b in spans)
+    x = secrets_cnn.windows(secrets_cnn.coded(text), [p for c in secrets_cnn.candidates(text) for p in secrets_cnn.pieces(*c)])
+    shown = ["".join(chr(c + 31) if c else "" for c in row) for row in x]
+    assert "cfg/key.name.abcdefgh and cor" in shown[-3] and shown[-1].endswith(" or pwd=hunter2x \x80")
+    net = secrets_cnn.Network()
+    whole = net._pooled(net._maps(x.astype(np.int64)))[0] @ net.v + net.c
+    assert np.allclose(net.logits(x), whole)
+
+
+def test_secret_anywhere_in_a_candidate_counts(spark):
+    net = secrets_cnn.Network()
+    net.e[:], net.v[:], net.c, net.threshold = 0, 0, -2.0, 0.5
+    net.e[0][ord("Q") - 31, 0], net.v[secrets_cnn.FILTERS] = 5, 1  # a network that takes every window with a Q for a secret
+    path = "/api/" + "stone/river/" * 20
+    texts = [f"{path}key=aQa", f"{path}Q{path}", path, "passQord of auth=abcdeQgh", "none here"]
+    got = {r.doc_id: r.spans for r in secrets_cnn.scan(table(spark, list(enumerate(texts))), net).collect()}
+    assert got == {0: f"cnn:0:{len(texts[0])}", 1: f"cnn:0:{len(texts[1])}", 2: "", 3: "cnn:0:8,cnn:12:25", 4: ""}
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
