@@ -3,7 +3,7 @@
 Base recognisers (email, ip, card, phone) find seed entities in whole texts. Their neighbouring words induce
 lexical patterns; Spark scores the bipartite pattern-instance graph for a few rounds (pattern confidence from the
 known instances it extracts, instance confidence by noisy-or over its patterns), and high-confidence patterns mark
-identifier-like tokens that no recogniser knows.
+identifier-like tokens, and numbers and addresses written over several tokens, that no recogniser knows.
 
 Defined results: null text is empty text (no spans); equal rows give equal rows; an empty table gives an empty
 table; columns other than doc_id and text are ignored; ties in score do not matter because thresholds decide.
@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import bounded_batches, discard, materialize, row_key
@@ -25,6 +27,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = re.compile(r"[0-9]+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_MARK = re.compile(r"[0-9]{2,}|@|[(\[]at[)\]]", re.I)
+_AT = re.compile(r"[(\[]at[)\]]", re.I)
+_JOINER = re.compile(r"[)\]]?[ .-]?[(\[]?")
+_MOST_DIGITS = 19  # of a card or phone
 _SPACES = frozenset(" \t\n\r\x0b\x0c")
 _EDGE = "\"'`.,;:!?()[]{}<>|*#$%&=~"
 _REACH = 80  # code points to either side that make up a mention's context
@@ -101,7 +107,7 @@ def _candidate_kinds(token: str) -> int:
     """Bits of the kinds that a token could be by its characters; 0: it is no identifier."""
     n = sum(c in "0123456789" for c in token)
     letters = sum(c.isalpha() for c in token)
-    bits = 1 * ("@" in token or "(at)" in token or "[at]" in token)
+    bits = 1 * ("@" in token or _AT.search(token) is not None)
     if not letters:
         bits |= 2 * (n >= 4 and token.count(".") >= 2) | 4 * (12 <= n <= 19) | 8 * (7 <= n <= 15)
     elif ":" in token and n >= 4:
@@ -109,27 +115,116 @@ def _candidate_kinds(token: str) -> int:
     return bits
 
 
+def _instance(token: str) -> str:
+    """What identifies a mention's text: itself, or for a long one its beginning and a digest of all of it."""
+    token = token.lower()
+    return token if len(token) <= 64 else token[:64] + hashlib.sha256(token.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _number_runs(text: str, overlaps) -> list[tuple[int, int]]:
+    """Spans of the mentions that are digit groups over more than one white-space-free token.
+
+    A run is digit groups joined by single spaces, dots, hyphens or brackets. Its mentions begin where it begins or end
+    where it ends (others have digits on both sides, not words) and hold at most ``_MOST_DIGITS`` digits.
+    """
+    runs, run = [], []
+    for m in _DIGITS.finditer(text):
+        a, b = m.span()
+        if overlaps(a, b):
+            run = []
+            continue
+        if run and a - run[-1][1] <= 3 and _JOINER.fullmatch(text, run[-1][1], a):
+            run.append((a, b))
+        else:
+            run = [(a, b)]
+            runs.append(run)
+    out = []
+    for run in runs:
+        # white-space-free parts of the run as (start, end, digits); parts that hang together with a word are no numbers
+        parts: list[tuple[int, int, int]] = []
+        for a, b in run:
+            if parts and " " not in text[parts[-1][1] : a]:
+                parts[-1] = (parts[-1][0], b, parts[-1][2] + b - a)
+            else:
+                parts.append((a, b, b - a))
+        if len(parts) > 1 and parts[0][0] and text[parts[0][0] - 1].isalnum():
+            parts = parts[1:]
+        if len(parts) > 1 and parts[-1][1] < len(text) and text[parts[-1][1]].isalnum():
+            parts = parts[:-1]
+        if len(parts) < 2:
+            continue
+        found = set()
+        for line in (range(len(parts)), range(len(parts) - 1, -1, -1)):
+            n = 0
+            for i in line:
+                n += parts[i][2]
+                if n > _MOST_DIGITS:
+                    break
+                if i != line[0]:
+                    found.add((min(i, line[0]), max(i, line[0])))
+        for i, j in sorted(found):
+            a, b = parts[i][0], parts[j][1]
+            inside = text[a:b]
+            if a and text[a - 1] in "([" and ")]"["([".index(text[a - 1])] in inside:
+                a -= 1
+            if a and text[a - 1] == "+":
+                a -= 1
+            out.append((a, b))
+    return out
+
+
+def _at_words(text: str) -> list[tuple[int, int]]:
+    """Spans of '<word> (at) <word>' with white space on either side of the sign."""
+    out, floor = [], 0
+    for m in _AT.finditer(text):
+        a, b = m.span()
+        if not (a and text[a - 1] in _SPACES or b < len(text) and text[b] in _SPACES):
+            continue  # a token of its own
+        while a > floor and text[a - 1] in _SPACES:
+            a -= 1
+        while a > floor and text[a - 1] not in _SPACES:
+            a -= 1
+        while b < len(text) and text[b] in _SPACES:
+            b += 1
+        while b < len(text) and text[b] not in _SPACES:
+            b += 1
+        left, right = text[a : m.start()].lstrip(_EDGE), text[m.end() : b].rstrip(_EDGE)
+        if left.strip() and right.strip():
+            out.append((m.start() - len(left), m.end() + len(right)))
+        floor = m.end()
+    return out
+
+
 def mentions(text: str, seeds: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, str, list[str]]]:
-    """(start, end, seed kind or -1, possible kinds, instance, patterns) of seeds and of unknown identifier-like tokens."""
-    out = [(s, e, k, 1 << k, text[s:e].lower()[:64], _context(text, s, e)) for s, k, e in seeds]
-    taken, done = [(s, e) for s, _, e in seeds], -1
-    for m in re.finditer(r"[0-9]{2,}|@|[(\[]at[)\]]", text):
+    """(start, end, seed kind or -1, possible kinds, instance, patterns) of seeds and of unknown identifier-like runs:
+    white-space-free tokens, digit groups with single joints over several tokens, and '<word> (at) <word>'."""
+    out = [(s, e, k, 1 << k, _instance(text[s:e]), _context(text, s, e)) for s, k, e in seeds]
+    starts, ends = [s for s, _, _ in seeds], list(accumulate((e for _, _, e in seeds), max))  # seeds are sorted
+
+    def overlaps(a, b):
+        i = bisect_left(starts, b)
+        return i > 0 and ends[i - 1] > a
+
+    found, done = [], -1
+    for m in _MARK.finditer(text):
         a, b = m.span()
         if a < done:
             continue
-        low, high = max(0, a - 64), min(len(text), b + 64)
-        while a > low and text[a - 1] not in _SPACES:
+        while a > 0 and text[a - 1] not in _SPACES:
             a -= 1
-        while b < high and text[b] not in _SPACES:
+        while b < len(text) and text[b] not in _SPACES:
             b += 1
         done = b
         token = text[a:b]
-        a, b = a + len(token) - len(token.lstrip(_EDGE)), b - len(token) + len(token.rstrip(_EDGE))
-        if a >= b or any(a < e and s < b for s, e in taken):
+        found.append((a + len(token) - len(token.lstrip(_EDGE)), b - len(token) + len(token.rstrip(_EDGE))))
+    seen = set()
+    for a, b in (*found, *_number_runs(text, overlaps), *_at_words(text)):
+        if a >= b or (a, b) in seen or overlaps(a, b):
             continue
+        seen.add((a, b))
         bits = _candidate_kinds(text[a:b])
         if bits:
-            out.append((a, b, -1, bits, text[a:b].lower()[:64], _context(text, a, b)))
+            out.append((a, b, -1, bits, _instance(text[a:b]), _context(text, a, b)))
     return out
 
 
@@ -203,8 +298,10 @@ def extract(docs: DataFrame, **options) -> DataFrame:
     base = scanned.drop("mentions")
     if known.isEmpty():
         return base.withColumn("spans", F.col("base"))
-    added = (
-        each.filter("kind < 0").select("doc_id", "key", "instance", "start", "end").join(known.select("instance", "kind"), "instance")
+    accepted = each.filter("kind < 0").select("key", "instance", "start", "end").join(known.select("instance", "kind"), "instance").select("key", "start", "kind", "end").distinct()
+    before = Window.partitionBy("key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    added = (  # of mentions that lie in one another the longest counts
+        accepted.withColumn("reach", F.max("end").over(before)).filter("reach is null or end > reach")
         .groupBy("key").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))
     )
     return base.join(added, "key", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", F.expr(f"cast(array() as {_SPAN})"))))).drop("added")

@@ -97,6 +97,29 @@ def test_pii_discovers_by_context(spark):
     assert masked[100] == "please call me at [PHONE] today and ask" and masked[101] == rows[-1][1]
 
 
+def test_pii_discovers_identifiers_over_several_tokens(spark):
+    rows = [(i, f"please call me at +1 (212) 555-01{i:02d} today and ask") for i in range(40)] + [(50 + i, f"or write mail to user{i}@mail.example.com soon and wait") for i in range(40)]
+    new = ["212 555 9999", "(212) 555-9998", "212.555 9997", "212 555 9996 24"]
+    rows += [(100 + i, f"please call me at {x} today and ask") for i, x in enumerate(new)]
+    at = ["jo (at) host.org", "jim(at)host.org", "jo [at] host"]
+    rows += [(200 + i, f"or write mail to {x} soon and wait") for i, x in enumerate(at)]
+    masked = {r.doc_id: r.text for r in pii.redact(table(spark, rows)).collect()}
+    assert [masked[100 + i] for i in range(len(new))] == ["please call me at [PHONE] today and ask"] * len(new)
+    assert [masked[200 + i] for i in range(len(at))] == ["or write mail to [EMAIL] soon and wait"] * len(at)
+    got = {r.doc_id: r.spans for r in pii.report(table(spark, rows)).collect()}
+    assert got[101] == "phone:18:32" and got[200] == "email:17:33"
+
+
+def test_pii_mentions():
+    spans = lambda t: [(t[a:b], bits) for a, b, _, bits, _, _ in pii.mentions(t, pii.base_spans(t))]
+    assert spans("(212) 555-9999") == [("555-9999", 8), ("(212) 555-9999", 8)]
+    long = "x" * 100 + "@" + "y" * 100
+    assert spans(f"a {long} b") == [(long, 1)]
+    first, second = "212 555 9999", "213 555 8888"  # a list of more digits than an identifier has
+    assert {first, second} <= {x for x, _ in spans(f"{first} {second}")}
+    assert spans("look (at)") == [] and spans("in 2024 we had 12 or 13") == []
+
+
 def test_line_quality_counts():
     rng = random.Random(2)
     for _ in range(200):
