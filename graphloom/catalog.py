@@ -235,7 +235,7 @@ _add("cosine_similarity", lambda c: _cosine(c), "SELECT vec_id, round(list_cosin
 _add("vector_search", lambda c: _nearest(c), "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id=0))*1000000)/1000000 AS similarity FROM embeddings ORDER BY 2 DESC, 1 LIMIT 20", graph=False)
 _add("node_to_text", lambda c: _text_nodes(c).select("id", T.node_to_text().alias("text")), "SELECT id, concat_ws(' ', name, CASE WHEN trim(regexp_replace(name, '[_./\\-\\s]+', ' ', 'g'))<>name THEN trim(regexp_replace(name, '[_./\\-\\s]+', ' ', 'g')) END, CASE WHEN kind<>'File' THEN lower(kind) END, split_part(file_path,'/',2), language) AS text FROM nodes")
 _add("text_hash", lambda c: c.table("documents").select("doc_id", S.text_hash("text").alias("text_hash")), "SELECT doc_id, substr(sha256(text),1,16) AS text_hash FROM documents", graph=False)
-_add("embed_nodes", lambda c: T.embed_nodes(c.nodes.filter("community_id = 1")).select("qualified_name", "text_hash", "provider", F.size("vector").alias("n")))
+_add("embed_nodes", lambda c: T.embed_nodes(c.nodes).select("qualified_name", "text_hash", "provider", F.size("vector").alias("n")))
 
 # scalars
 _add("make_qualified", lambda c: c.nodes.select("id", S.make_qualified().alias("q"), S.make_qualified(parent=F.lit("Outer")).alias("in_parent")), "SELECT id, CASE WHEN kind='File' THEN file_path ELSE file_path || '::' || name END AS q, CASE WHEN kind='File' THEN file_path ELSE file_path || '::Outer.' || name END AS in_parent FROM nodes")

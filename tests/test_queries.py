@@ -40,3 +40,9 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(have) == cols
     at = [have.index(c) for c in cols]
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in cur.fetchall())
+
+
+def test_embed_nodes_embeds_every_node(spark):
+    every = catalog.queries()["projection_nodes"](spark, DIR).filter("kind != 'File'").select("qualified_name").distinct()
+    got = catalog.queries()["embed_nodes"](spark, DIR)
+    assert got.select("qualified_name").exceptAll(every).isEmpty() and every.exceptAll(got.select("qualified_name")).isEmpty()
