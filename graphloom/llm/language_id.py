@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import bounded_batches, worker_cache
+from .runtime import arrow_map, worker_cache
 from .textops import U64, mix64
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -171,7 +171,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = 400
             ns.append(c[at])
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(ids) if ids else [], pa.int32()), pa.array(np.concatenate(ns) if ns else [], pa.int64())], names=["lang", "piece", "n"])
 
-    rows = bounded_batches(sample).mapInArrow(count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
+    rows = arrow_map(sample, count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.lang for r in rows})
     probs = np.full((Pieces(path).size, len(languages)), smoothing)
     column = {x: i for i, x in enumerate(languages)}
@@ -197,7 +197,7 @@ def identify(docs: DataFrame, languages: list[str], probs: np.ndarray, vocabular
             yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in keep), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     need = list(dict.fromkeys([*keep, "text"]))
-    return bounded_batches(docs.select(*need)).mapInArrow(run, f"{types}, lang_pred string, score double")
+    return arrow_map(docs.select(*need), run, f"{types}, lang_pred string, score double")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import bounded_batches, discard, materialize, row_key
+from .runtime import arrow_map, discard, materialize, row_key
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -230,7 +230,7 @@ def mentions(text: str, seeds: list[tuple[int, int, int]]) -> list[tuple[int, in
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 _MENTION = "array<struct<start:int,end:int,kind:int,kinds:int,instance:string,patterns:array<string>>>"
-_SCANNED = f"doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base {_SPAN}, mentions {_MENTION}"
+_SCANNED = f"doc_id long, key binary, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base {_SPAN}, mentions {_MENTION}"
 
 
 def _scan(batches):
@@ -292,7 +292,7 @@ def bootstrap(found: DataFrame, rounds: int = 3, min_support: int = 3, min_patte
 
 def extract(docs: DataFrame, **options) -> DataFrame:
     """All spans of each row: doc_id, key, the base counts and digest, base spans, and ``spans`` (base and discovered)."""
-    scanned = materialize(bounded_batches(docs.select("doc_id", "text", row_key().alias("key"))).mapInArrow(_scan, _SCANNED), "pii-scan")
+    scanned = materialize(arrow_map(docs.select("doc_id", "text", row_key().alias("key")), _scan, _SCANNED), "pii-scan")
     each = scanned.select("doc_id", "key", F.explode("mentions").alias("m")).select("doc_id", "key", "m.*")
     known = bootstrap(each.select("instance", "kind", "kinds", F.explode("patterns").alias("pattern")), **options)
     base = scanned.drop("mentions")
@@ -344,4 +344,4 @@ def redact(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([arrays[c] for c in docs_columns], names=docs_columns)
 
     docs_columns = docs.columns
-    return bounded_batches(joined).mapInArrow(mask, schema)
+    return arrow_map(joined, mask, schema)
