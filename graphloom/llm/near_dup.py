@@ -5,36 +5,38 @@ node branches by is chosen by a hash of the path to it) until a node is small; s
 on their signatures, which gives tentative components of everything that may be linked. Within a tentative component
 the full sets decide: pairs in different components are compared exactly until none is left, so no link between
 different components is lost. A component whose sets are too large for one task is dealt over tasks and compared with
-rounds of pivots, which is exact too.
+rounds of pivots, which is exact too; so is a node that stays large down to the last depth.
 
-A pair of similarity 0.85 shares a node of depth d with probability 0.85**d in each of ``TREES`` trees; nodes of at most
-``NODE`` classes are leaves, so d is nearly always 1 and the chance to miss is 0.15**10 a pair, besides less than one in
-100,000 for a signature that is over four standard deviations low.
+A pair of similarity 0.85 shares a node of depth d with probability 0.85**d in a tree. ``TREES`` trees miss a pair of depth 3
+or less with a chance of at most ``MISS``; classes that lie deeper (families of documents around one template) get as many
+more trees as keep that chance. Besides, a signature is over four standard deviations low less than once in 100,000 pairs.
+Sets hold 64-bit hashes of shingles.
 
 Defined results: null or empty text has an empty set, is linked with nothing and is its own component; rows that share
 a doc_id but not the text are linked by their sets only; rows without a doc_id have no component and are kept; an empty
-table gives an empty table; columns other than doc_id and text are ignored.
+table gives an empty table; a very long text is one task's work; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import bounded_batches, discard, materialize, row_key
+from .runtime import arrow_map, discard, materialize, one_of_each, row_key
 from .textops import U64, ascii_lower, mix64, window_hashes, word_bounds, word_hashes
 
 WORDS = 5
 COORDS = 128
 TREES = 10
-DEPTH = 8
+MISS = 1e-4
+DEPTH = 12
 NODE = 512
-CHUNK = 4096
-SPINE = 64
+CHUNK = 16_384  # of a node of the last depth, what one task compares
 BIG_SETS = 4_000_000
 PIVOTS = 64
 _RNG = np.random.default_rng(20240229)
@@ -61,10 +63,10 @@ def minhashes(x: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def tree_paths(mh: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """Node keys [classes, trees, depth]: a path is extended by the minwise token at a coordinate that the path picks."""
+def tree_paths(mh: np.ndarray, first: int, trees: int, depth: int) -> np.ndarray:
+    """Node keys [classes, trees, depth] of the trees from number ``first`` on: a path is extended by the minwise token at a coordinate that the path picks."""
     out = np.zeros((len(mh), trees, depth), dtype=U64)
-    path = np.broadcast_to(mix64(np.arange(1, trees + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)), (len(mh), trees)).copy()
+    path = np.broadcast_to(mix64(np.arange(first + 1, first + trees + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)), (len(mh), trees)).copy()
     rows = np.arange(len(mh))[:, None]
     for d in range(depth):
         c = (mix64(path + U64(d + 1)) % U64(COORDS)).astype(np.int64)
@@ -73,33 +75,32 @@ def tree_paths(mh: np.ndarray, trees: int, depth: int) -> np.ndarray:
     return out
 
 
-_SIGNED = "doc_id long, key long, n_shingles long, cid long, mh binary"
+_SIGNED = "doc_id long, key binary, n_shingles long, digest binary, mh binary"
 
 
 def _sign(batches):
     for rb in batches:
-        ns, cids, mhs = [], [], []
+        ns, digests, mhs = [], [], []
         for v in rb.column("text"):
             x = shingles(v.as_py())
             ns.append(len(x))
-            cids.append(int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) if len(x) else None)
+            digests.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
             mhs.append(minhashes(x).tobytes() if len(x) else None)
-        yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("key"), pa.array(ns, pa.int64()), pa.array(cids, pa.int64()), pa.array(mhs, pa.binary())], names=["doc_id", "key", "n_shingles", "cid", "mh"])
+        yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("key"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(mhs, pa.binary())], names=["doc_id", "key", "n_shingles", "digest", "mh"])
 
 
-def _paths(trees: int, first: int, last: int):
-    """Rows (cid, tree, keys of the depths first..last-1) of each class."""
+def _paths(tree: int, trees: int, depth: int):
+    """Rows (cid, tree, node of that depth) of each class, for trees from number ``tree`` on."""
 
     def run(batches):
         for rb in batches:
             if not rb.num_rows:
                 continue
             mh = np.stack([np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in rb.column("mh")])
-            keys = tree_paths(mh, trees, last)[:, :, first:].astype(np.int64, casting="unsafe") if last > first else None
+            nodes = tree_paths(mh, tree, trees, depth)[:, :, depth - 1].reshape(-1).astype(np.int64, casting="unsafe")
             cid = np.repeat(rb.column("cid").to_numpy(zero_copy_only=False), trees)
-            tree = np.tile(np.arange(trees, dtype=np.int32), rb.num_rows)
-            flat = keys.reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(tree), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, last - first, dtype=np.int32)), pa.array(flat))], names=["cid", "tree", "keys"])
+            numbers = np.tile(np.arange(tree, tree + trees, dtype=np.int32), rb.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(numbers), pa.array(nodes)], names=["cid", "tree", "node"])
 
     return run
 
@@ -175,33 +176,70 @@ def _compare_nodes(least_equal: int):
     return run
 
 
-def candidates(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, node: int = NODE, least_equal: int | None = None) -> DataFrame:
-    """Tentative links (a, b) between classes (cid, mh)."""
-    least_equal = least_equal or int(0.70 * COORDS)
-    rows = classes.select("cid", "mh").mapInArrow(_paths(trees, 0, 1), "cid long, tree int, keys array<long>").select("cid", "tree", F.col("keys")[0].alias("node"))
-    leaves = None
+_PATHS = "cid long, tree int, node long"
+
+
+def _leaves(classes: DataFrame, tree: int, trees: int, depth: int, node: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(cid, node, m, d) of the leaves of some trees, (cid, d) of the classes below the first depth, and tables to discard.
+
+    A node of at most ``node`` classes is a leaf, and so is every one of the last depth. ``m`` is its size, ``d`` its depth.
+    """
+    rows = arrow_map(classes.select("cid", "mh"), _paths(tree, trees, 1), _PATHS)
+    leaves, deep, used = None, None, []
     for d in range(1, depth + 1):
         rows = materialize(rows, f"near-rows-{d}")
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
         sized = materialize(rows.join(sizes, "node"), f"near-nodes-{d}")
         discard(rows)
+        used.append(sized)
         small = sized.filter(F.col("m") <= node) if d < depth else sized
-        small = small.select("cid", "node", "m")
+        small = small.select("cid", "node", "m", F.lit(d).alias("d"))
         leaves = small if leaves is None else leaves.unionByName(small)
-        large = sized.filter(F.col("m") > node)
+        large = sized.filter(F.col("m") > node).select("cid", "tree")
         if d == depth or large.isEmpty():
             break
-        deeper = classes.join(large.select("cid").distinct(), "cid", "left_semi").select("cid", "mh").mapInArrow(_paths(trees, d, d + 1), "cid long, tree int, keys array<long>")
-        rows = large.select("cid", "tree").join(deeper, ["cid", "tree"]).select("cid", "tree", F.col("keys")[0].alias("node"))
-    # a node that no depth makes small is dealt in chunks, each with the same few members to hold them together
-    chunks = F.ceil(F.col("m") / CHUNK)
-    at = F.pmod(F.xxhash64("cid", "node"), chunks)
-    spine = F.pmod(F.xxhash64("node", "cid"), F.greatest(F.lit(1), F.floor(F.col("m") / SPINE))) == 0
-    places = F.when(F.col("m") <= CHUNK, F.array(F.lit(0).cast("long"))).when(spine, F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array(at))
-    leaves = leaves.withColumn("place", F.explode(places)).select("cid", F.xxhash64("node", "place").alias("node"))
-    with_sig = leaves.join(classes.select("cid", "mh"), "cid")
-    dealt = with_sig.repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(_compare_nodes(least_equal), "a long, b long").dropDuplicates()
+        below = large.select("cid", F.lit(d + 1).alias("d"))
+        deep = below if deep is None else deep.unionByName(below)
+        deeper = arrow_map(classes.join(large.select("cid").distinct(), "cid", "left_semi").select("cid", "mh"), _paths(tree, trees, d + 1), _PATHS)
+        rows = large.join(deeper, ["cid", "tree"])
+    return leaves, deep, used
+
+
+def trees_for(depth: int, miss: float = MISS) -> int:
+    """Trees by which a pair of similarity 0.85 shares a node of that depth in one at least, but for a chance ``miss``."""
+    return max(TREES, math.ceil(math.log(miss) / math.log(1 - 0.85**depth)))
+
+
+def candidates(classes: DataFrame, depth: int = DEPTH, node: int = NODE, chunk: int = CHUNK, least_equal: int | None = None) -> DataFrame:
+    """Tentative links (a, b) between classes (cid, mh)."""
+    least_equal = least_equal or int(0.70 * COORDS)
+    links, tree, todo = None, 0, classes
+    trees, used = TREES, []
+    while True:
+        leaves, deep, tables = _leaves(todo, tree, trees, depth, node)
+        used += tables
+        with_sig = leaves.select("cid", "node", "m").join(classes.select("cid", "mh"), "cid")
+        one_task = with_sig.filter(F.col("m") <= max(node, chunk)).select("cid", "node", "mh").repartition("node").sortWithinPartitions("node")
+        found = arrow_map(one_task, _compare_nodes(least_equal), "a long, b long")
+        links = found if links is None else links.unionByName(found)
+        if not leaves.filter(F.col("m") > max(node, chunk)).isEmpty():
+            large = with_sig.filter(F.col("m") > max(node, chunk)).select(F.col("node").alias("comp"), "cid", F.col("mh").alias("x"))
+            labels = _pivot_rounds(large, _equal_signatures(least_equal), chunk * COORDS * 4)
+            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a != b"))
+        tree += trees
+        if deep is None:
+            break
+        # what lies deeper than these trees reach surely gets more of them
+        depths = materialize(deep.groupBy("cid").agg(F.max("d").alias("d")), "near-depths")
+        deepest = depths.agg(F.max("d")).first()[0]
+        trees, need = trees_for(deepest) - tree, next((d for d in range(1, deepest + 1) if trees_for(d) > tree), None)
+        if need is None:
+            break
+        todo = materialize(todo.join(depths.filter(F.col("d") >= need).select("cid"), "cid", "left_semi"), "near-deep")
+        used += [depths, todo]
+    out = materialize(links.dropDuplicates(), "near-links")
+    discard(*used)
+    return out
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -281,7 +319,23 @@ def _exact_components(percent: int):
     return run
 
 
-def _pivot_links(percent: int):
+def _linked_sets(percent: int):
+    def linked(o: np.ndarray, s: np.ndarray) -> bool:
+        o, s = o.view(U64), s.view(U64)
+        if min(len(o), len(s)) * 100 < percent * max(len(o), len(s)):
+            return False
+        at = np.searchsorted(o, s)
+        at[at == len(o)] = 0
+        return bool(_linked(int((o[at] == s).sum()), len(o), len(s), percent))
+
+    return linked
+
+
+def _equal_signatures(least_equal: int):
+    return lambda o, s: int((o.view(np.uint32) == s.view(np.uint32)).sum()) >= least_equal
+
+
+def _pivot_links(linked):
     """Links between the pivots and the members of a salted part: rows (part, role, cid, x), pivots (role 0) first."""
 
     def run(batches):
@@ -289,31 +343,28 @@ def _pivot_links(percent: int):
         for rb in batches:
             out = ([], [])
             for p, role, cid, x in zip(rb.column("part").to_pylist(), rb.column("role").to_pylist(), rb.column("cid").to_pylist(), rb.column("x"), strict=True):
-                s = np.frombuffer(x.as_buffer(), dtype=U64)
+                s = np.frombuffer(x.as_py(), dtype=np.uint8)
                 if p != part:
                     part, pivots = p, []
                 if role == 0:
                     pivots.append((cid, s))
                     continue
                 for other, o in pivots:
-                    if other != cid and min(len(o), len(s)) * 100 >= percent * max(len(o), len(s)):
-                        at = np.searchsorted(o, s)
-                        at[at == len(o)] = 0
-                        if _linked(int((o[at] == s).sum()), len(o), len(s), percent):
-                            out[0].append(other)
-                            out[1].append(cid)
+                    if other != cid and linked(o, s):
+                        out[0].append(other)
+                        out[1].append(cid)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
     return run
 
 
-def _giant_components(sets: DataFrame, percent: int) -> DataFrame:
-    """(cid, component_id) of tentative components that no task should hold: rounds of pivots over salted parts.
+def _pivot_rounds(members: DataFrame, linked, part_bytes: int) -> DataFrame:
+    """(node, label) of the members (comp, cid, x) of components that no task should hold: rounds of pivots over salted parts.
 
     Ends when every member outside a component's largest group has been a pivot, so all pairs in different groups were seen.
     """
-    weights = sets.groupBy("comp").agg(F.ceil(F.sum(F.length("x")) / (BIG_SETS * 4)).alias("parts"))
-    members = materialize(sets.join(weights, "comp").withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("parts"))), "giant-sets")
+    weights = members.groupBy("comp").agg(F.ceil(F.sum(F.length("x")) / part_bytes).alias("parts"))
+    members = materialize(members.join(weights, "comp").withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("parts"))), "giant-members")
     links, labels, used = None, None, None
     while True:
         state = members.select("comp", "cid", "salt")
@@ -321,20 +372,27 @@ def _giant_components(sets: DataFrame, percent: int) -> DataFrame:
             state = state.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
             groups = state.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("m"))
             largest = groups.groupBy("comp").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("main"))
-            state = state.join(largest, "comp").filter("label != main").join(used, "cid", "left_anti")
+            state = state.join(largest, "comp").filter("label != main").join(used, ["comp", "cid"], "left_anti")
         per_part = Window.partitionBy("comp", "salt").orderBy(F.xxhash64("cid"))
-        per_comp = Window.partitionBy("comp").orderBy(F.xxhash64("cid"))
+        per_comp = Window.partitionBy("comp").orderBy(F.xxhash64("cid"))  # over PIVOTS rows a part
         chosen = state.withColumn("r", F.row_number().over(per_part)).filter(F.col("r") <= PIVOTS).withColumn("r", F.row_number().over(per_comp)).filter(F.col("r") <= PIVOTS)
-        chosen = materialize(chosen.select("cid"), "giant-pivots")
+        chosen = materialize(chosen.select("comp", "cid"), "giant-pivots")
         if chosen.isEmpty():
             break
-        pivots = members.join(chosen, "cid", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        pivots = members.join(chosen, ["comp", "cid"], "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         both = pivots.withColumn("role", F.lit(0)).unionByName(members.withColumn("role", F.lit(1))).withColumn("part", F.xxhash64("comp", "salt")).select("part", "role", "cid", "x")
-        fresh = both.repartition("part").sortWithinPartitions("part", "role").mapInArrow(_pivot_links(percent), "a long, b long")
+        fresh = arrow_map(both.repartition("part").sortWithinPartitions("part", "role"), _pivot_links(linked), "a long, b long")
         links = materialize(fresh if links is None else links.unionByName(fresh), "giant-links")
         labels = materialize(connected(links), "giant-labels")
         used = materialize(chosen if used is None else used.unionByName(chosen), "giant-used")
-    out = members.select("cid", "min_doc").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    out = members.select(F.col("cid").alias("node")).distinct()
+    return (out if labels is None else out.join(labels, "node", "left")).withColumn("label", F.coalesce("label", "node") if labels is not None else F.col("node"))
+
+
+def _giant_components(sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, component_id) of tentative components (comp, cid, min_doc, x) that no task should hold."""
+    labels = _pivot_rounds(sets.select("comp", "cid", "x"), _linked_sets(percent), BIG_SETS * 4)
+    out = sets.select("cid", "min_doc").join(labels.withColumnRenamed("node", "cid"), "cid")
     best = out.groupBy("label").agg(F.min("min_doc").alias("component_id"))
     return out.join(best, "label").select("cid", "component_id")
 
@@ -347,22 +405,27 @@ def _full_sets(batches):
 
 def components(docs: DataFrame, percent: int = 85, **options) -> DataFrame:
     """(doc_id, key, n_shingles, component_id) of every row; links are those with 100 * intersection >= percent * union."""
-    signed = materialize(bounded_batches(docs.select("doc_id", "text", row_key().alias("key"))).mapInArrow(_sign, _SIGNED), "near-signed")
-    some = signed.filter("cid IS NOT NULL")
-    classes = materialize(some.groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("r"), F.first("mh").alias("mh"), F.max("n_shingles").alias("n")).select("cid", F.col("r.doc_id").alias("min_doc"), F.col("r.key").alias("key"), "mh", "n"), "near-classes")
-    comps = materialize(connected(candidates(classes, **options)).select(F.col("node").alias("cid"), F.col("label").alias("comp")), "near-comps")
+    signed = materialize(arrow_map(docs.select("doc_id", "text", row_key().alias("key")), _sign, _SIGNED), "near-signed")
+    some = signed.filter("digest IS NOT NULL")
+    grouped = some.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("r"), F.first("mh").alias("mh"), F.max("n_shingles").alias("n"))
+    classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "digest", F.col("r.doc_id").alias("min_doc"), F.col("r.key").alias("key"), "mh", "n"), "near-classes")
+    links = candidates(classes, **options)
+    comps = materialize(connected(links).select(F.col("node").alias("cid"), F.col("label").alias("comp")), "near-comps")
     members = classes.select("cid", "min_doc", "key", "n").join(comps, "cid")
     weights = members.groupBy("comp").agg(F.sum("n").alias("weight"))
     members = materialize(members.join(weights, "comp"), "near-members")
-    # one row of each class brings its text; equal rows share a key, so they are met once
+    # one row of each class brings its text; repeated rows meet as partial aggregates
     # (a sort-merge join at every size: the members grow with the documents, so they are never broadcast)
-    texts = docs.select(row_key().alias("key"), "text").join(members.select("key", "comp", "cid", "min_doc", "weight").hint("merge"), "key").select("comp", "cid", "min_doc", "text", "weight")
-    part = lambda cond: texts.filter(cond).select("comp", "cid", "min_doc", "text").mapInArrow(_full_sets, "comp long, cid long, min_doc long, x binary")
-    exact = part(F.col("weight") <= BIG_SETS).repartition("comp").sortWithinPartitions("comp", "cid").mapInArrow(_exact_components(percent), "cid long, component_id long").dropDuplicates(["cid"])
+    texts = docs.select(row_key().alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
+    texts = texts.join(members.select("key", "comp", "cid", "min_doc", "weight").hint("merge"), "key")
+    part = lambda cond: arrow_map(texts.filter(cond).select("comp", "cid", "min_doc", "text"), _full_sets, "comp long, cid long, min_doc long, x binary")
+    exact = arrow_map(part(F.col("weight") <= BIG_SETS).repartition("comp").sortWithinPartitions("comp", "cid"), _exact_components(percent), "cid long, component_id long")
     if not members.filter(F.col("weight") > BIG_SETS).isEmpty():
-        exact = exact.unionByName(_giant_components(part(F.col("weight") > BIG_SETS).dropDuplicates(["cid"]), percent))
-    labels = classes.select("cid", "min_doc").join(materialize(exact, "near-exact"), "cid", "left").select("cid", F.coalesce("component_id", "min_doc").alias("component_id"))
-    return signed.select("doc_id", "key", "n_shingles", "cid").join(labels, "cid", "left").select("doc_id", "key", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        exact = exact.unionByName(_giant_components(part(F.col("weight") > BIG_SETS), percent))
+    exact = materialize(exact, "near-exact")
+    discard(links, comps, members)
+    labels = classes.select("cid", "digest", "min_doc").join(exact, "cid", "left").select("digest", F.coalesce("component_id", "min_doc").alias("component_id"))
+    return signed.select("doc_id", "key", "n_shingles", "digest").join(labels, "digest", "left").select("doc_id", "key", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -374,6 +437,5 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each component stays (that of the smallest doc_id); columns stay. Equal rows stay once."""
     kept = components(docs, **options).filter((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull())
-    one = kept.groupBy(F.coalesce("component_id", "key").alias("c"), F.col("doc_id").isNull().alias("u")).agg(F.min("key").alias("__key"))
-    n = Window.partitionBy("__key").orderBy("__key")
-    return docs.withColumn("__key", row_key()).join(one.select("__key").hint("merge"), "__key", "left_semi").withColumn("__n", F.row_number().over(n)).filter("__n = 1").select(*docs.columns)
+    one = kept.groupBy(F.col("component_id"), F.when(F.col("component_id").isNull() | F.col("doc_id").isNull(), F.col("key"))).agg(F.min("key").alias("k"))
+    return one_of_each(docs, row_key()).join(one.select("k").distinct().hint("merge"), "k", "left_semi").select("row.*")
