@@ -6,10 +6,10 @@
 2. Only windows around confirmed phrases can recur. Their 96-bit hashes tell, for each, the first document (the smallest
    doc_id) that has it and which blocks of documents have it in a later one. Those first documents spell the passage of the
    window out: ``CHUNK`` windows and the words they cover.
-3. A shard is a block of documents with all passages that its documents may repeat. It compiles the passages' windows,
-   word by word, into Aho-Corasick automata of bounded size (pyahocorasick) and streams its documents through them, which
-   locates every occurrence of every passage that an earlier document has. Words go by what the automata find and by
-   nothing else: hashes only choose which passages a shard gets.
+3. A shard is a block of documents with all passages that its documents may repeat. It compiles the passages' phrases
+   into Aho-Corasick automata of bounded size (pyahocorasick) and streams its documents through them, which locates
+   every occurrence of every passage that an earlier document has; the windows there are compared word by word. Words
+   go by what the automata find and by nothing else: hashes only choose which passages a shard gets.
 
 Documents with the same word sequence are handled once: every copy but that of the smallest doc_id loses all words (if
 it has a window at all).
@@ -35,6 +35,7 @@ from .textops import U64, cover, mix64, window_hashes, word_bounds, word_hashes
 
 WINDOW = 13
 PHRASE = 6
+STRIDE = WINDOW - PHRASE + 1  # of the starts of phrases, any STRIDE of which in a row give each window one
 CHUNK = 32  # windows of a passage that travel together
 START_BITS = 27  # a window's code is its document's rank, then its start
 BLOCK_WORDS = 250_000
@@ -79,9 +80,7 @@ def _scan(batches):
 
 def _around(at: np.ndarray, n: int) -> np.ndarray:
     """Which of ``n`` windows hold a phrase that starts at one of the positions ``at``."""
-    near = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(near, np.maximum(0, at - (WINDOW - PHRASE)), 1)
-    np.add.at(near, np.minimum(n, at + 1), -1)
+    near = np.bincount(np.maximum(0, at - (WINDOW - PHRASE)), minlength=n + 1) - np.bincount(np.minimum(n, at + 1), minlength=n + 1)
     return np.cumsum(near[:-1]) > 0
 
 
@@ -131,33 +130,46 @@ def _spell(batches):
 
 
 def automata(passages: list[tuple[int, int, bytes]]):
-    """(automaton, numbers of its words) over the windows of passages (rank, which windows, words), at most about
-    ``AUTOMATON_WINDOWS`` each. A window's value is the smallest rank that spells it."""
+    """(automaton, numbers of its words, first) over the windows of passages (rank, which windows, words), at most about
+    ``AUTOMATON_WINDOWS`` each.
+
+    Every window of a passage holds the phrase that starts at the passage's next multiple of ``STRIDE``; the automaton has
+    these phrases, and ``first`` the whole windows, word by word, with the smallest rank that spells them.
+    """
     at, passages = 0, sorted(passages, key=lambda p: p[0], reverse=True)
     while at < len(passages):
         numbers: dict[bytes, int] = {}
-        auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        while at < len(passages) and len(auto) < AUTOMATON_WINDOWS:
+        first: dict[tuple[int, ...], int] = {}
+        auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        while at < len(passages) and len(first) < AUTOMATON_WINDOWS:
             rank, which, words = passages[at]
             ids = tuple([numbers.setdefault(w, len(numbers) + 1) for w in words.split()])
+            phrases = set()
             for i in range(min(CHUNK, len(ids) - WINDOW + 1)):
                 if which >> i & 1:
-                    auto.add_word(ids[i : i + WINDOW], rank)
+                    first[ids[i : i + WINDOW]] = rank
+                    phrases.add(-(-i // STRIDE) * STRIDE)
+            for i in phrases:
+                auto.add_word(ids[i : i + PHRASE])
             at += 1
-        if len(auto):
+        if first:
             auto.make_automaton()
-            yield auto, numbers
+            yield auto, numbers, first
 
 
 def locate(passages: list[tuple[int, int, bytes]], docs: list[tuple[int, list[bytes]]]) -> list[np.ndarray]:
-    """Start positions of the windows of each document (rank, words) that a passage of a smaller rank spells."""
-    found: list[list[int]] = [[] for _ in docs]
-    for auto, numbers in automata(passages):
-        number = numbers.get
+    """Start positions of the windows of each document (rank, words) that a passage of a smaller rank spells: the
+    automata find the passages' phrases, and the windows around them are compared word by word."""
+    found: list[set[int]] = [set() for _ in docs]
+    for auto, numbers, first in automata(passages):
+        number, spelled = numbers.get, first.get
         for where, (rank, words) in zip(found, docs, strict=True):
             ids = tuple([number(w, 0) for w in words])
-            where += [end - WINDOW + 1 for end, first in auto.iter(ids) if first < rank]
-    return [np.unique(np.array(w, dtype=np.int64)) for w in found]
+            for end, _ in auto.iter(ids):
+                for a in range(max(0, end - WINDOW + 1), end - PHRASE + 2):
+                    if spelled(ids[a : a + WINDOW], rank) < rank:
+                        where.add(a)
+    return [np.array(sorted(w), dtype=np.int64) for w in found]
 
 
 _CUT = "key binary, n_removed long, kept_sha256 string, kept_text string"
