@@ -273,7 +273,7 @@ def test_html_elements_that_are_never_closed(aside):
     assert kept == ["the text itself", "and more of it"]
     assert html_text.extract(page, html_text.DEFAULT_WEIGHTS) == "the text itself and more of it"
     nested = html_text.tokens("<div>" * 100000 + "<p>a" * 100000 + "</div>" * 100000)
-    assert not any(html_text.excluded(nested))
+    assert not any(off for t, off in zip(nested, html_text.excluded(nested), strict=True) if t[0] == "text")
 
 
 def test_html_scopes():
@@ -281,12 +281,43 @@ def test_html_scopes():
         toks = html_text.tokens(page)
         return " ".join(t[2] for t, off in zip(toks, html_text.excluded(toks), strict=True) if t[0] == "text" and not off)
 
-    assert kept("<ul><li class=ad>a<ul><li>b<li>c</ul>d<li>e</ul>f") == "e f"  # an inner list does not end the outer item
-    assert kept("<table><tr><td class=ad>a<table><tr><td>b</table>c<td>d</table>e") == "d e"
+    assert kept("<ul><li class=ad>a<ul><li>b<li>c</ul>d<li>e e e e e e</ul>f") == "e e e e e e f"  # an inner list does not end the outer item
+    assert kept("<table><tr><td class=ad>a<table><tr><td>b</table>c<td>d d d d d d d d</table>e") == "d d d d d d d d e"
     assert kept("<p class=ad>a<div>b</div>") == "b" and kept("<div class=ad><p>a</div>b") == "b"
     assert kept("<li class=ad><div>a</div></li>b") == "b" and kept("<nav>a</li>b</nav>c") == "c"
 
 
+@pytest.mark.parametrize(
+    "inner, kept",
+    [
+        ("text with <label>a word</label> and <button>another</button> and rest", True),
+        ("<div class='article-header'><p>{}</p></div>", True),
+        ("<p class='notice-of-death'>{}</p>", True),
+        ("<p id='search'>{}</p>", False),
+        ("<div class='comments-area'><p>{}</p></div>", False),
+        ("<div class='newsletter'>{}</div>", False),
+    ],
+)
+def test_html_scan_decides_inside(inner, kept):
+    words = "some words of prose that stand here and go on"
+    inner = inner.format(words)
+    page = f"<html><body><nav><a>menu</a></nav><article><p>{'the beginning of it ' * 9}</p>{inner}<p>{'the end of it ' * 9}</p></article></body></html>"
+    text = html_text.extract(page, html_text.DEFAULT_WEIGHTS)
+    assert text.startswith("the beginning") and text.endswith("end of it")
+    assert (" ".join(re.sub("<[^>]*>", "", inner).split()) in text) == kept
+
+
+def test_html_learns_what_stands_outside():
+    page = "<html><body><div class='zq'>{0}</div><article><div class='menu-zz'>{0}</div><p>{1}</p></article><section>{0}</section></body></html>"
+    pages = [page.format("a few words more", "the article itself " * 5) for _ in range(3)]
+    seen = Counter(x for p in pages for x in html_text.features(html_text.tokens(p)))
+    weights = html_text.fit([(*x, n) for x, n in seen.items()])
+    assert weights[".zq"] == weights["section"] == -10 and weights[".menu-zz"] == html_text.FALLBACK
+    unlabelled = "<html><body><div class='zq'>short words here</div><div>{}</div><section>short again</section></body></html>".format("the article itself " * 5)
+    assert html_text.extract(unlabelled, weights) == " ".join(["the article itself"] * 5)
+    assert html_text.extract(unlabelled, html_text.DEFAULT_WEIGHTS) != html_text.extract(unlabelled, weights)
+
+
 def test_best_run_equals_all_runs():
     rng = random.Random(9)
     for _ in range(300):
