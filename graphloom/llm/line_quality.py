@@ -2,11 +2,15 @@
 
 Each line that has a word is a position of the chain; Viterbi decoding marks it content or boilerplate, and the
 share of words in content lines decides retention. The field is fitted on a bounded sample of labelled documents
-(``sample_per_class`` rows of either quality label, lines inherit the label of their document).
+(``sample_per_class`` rows of either quality label). Labels are given to lines, not to documents: a line that stands in
+``MIN_DOCS`` otherwise different sampled documents or more is boilerplate, other lines of good documents are content, and lines of bad
+documents are found in a few rounds: what the field itself takes for content stays content, as bad documents hold good
+lines too, but at least half of a bad document's words are boilerplate. The field has a weight for the first line and a
+full table of transitions. The frequent lines of the sample are a feature, so the model's size has the sample's bound.
 
 Defined results: null text has no words (all counts 0, base_failed true, kept false); equal rows give equal rows;
-an empty table gives an empty table; without labels of both classes fixed prior weights are used; columns other
-than doc_id and text are ignored; Viterbi ties go to content.
+an empty table gives an empty table; without labels of both classes fixed prior weights are used; a very long text is
+one task's work, linear in its length; columns other than doc_id and text are ignored; Viterbi ties go to content.
 """
 
 from __future__ import annotations
@@ -16,15 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import bounded_batches
+from .runtime import arrow_map
 from .textops import cover, window_hashes, word_bounds, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
-N_FEATURES = 12
+N_FEATURES = 15
+MIN_DOCS = 3
 #: Weights used when no labels are there: bias, then one for each feature of features() (content minus boilerplate).
-PRIOR = np.array([2.0, -3.0, -3.0, -2.0, -2.0, -2.5, -2.5, -1.0, -0.3, 0.3, -1.0, -2.0])
-PRIOR_STEP = 1.0
+PRIOR = np.array([2.0, -3.0, -3.0, -2.0, -2.0, -2.5, -2.5, -1.0, -0.3, 0.3, -1.0, -2.0, -3.0, 0.0, 0.0])
+#: Scores of a label after another, [before, after], and of either label in the first line.
+PRIOR_STEPS = np.array([[0.5, 0.0], [0.0, 0.5]])
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[list(SYMBOLS)] = 1
 _UPPER = np.zeros(256, dtype=np.int64)
@@ -34,9 +40,9 @@ _DIGIT[48:58] = 1
 
 
 class Lines:
-    """Counts of one text and the arrays of its lines that have a word."""
+    """Counts of one text and the arrays of its lines that have a word; ``frequent`` holds hashes of lines."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, frequent: np.ndarray = np.zeros(0, dtype=np.uint64)):
         buf = np.frombuffer(data, dtype=np.uint8)
         s, e = word_bounds(buf)
         n = len(s)
@@ -73,8 +79,9 @@ class Lines:
         self.n_dup_lines = int(dup.sum())
         self.words = last - first
         if not len(begin):
-            self.x = np.zeros((0, N_FEATURES))
+            self.x, self.hashes = np.zeros((0, N_FEATURES)), np.zeros(0, dtype=np.uint64)
             return
+        self.hashes = word_hashes(buf, s[first], e[last - 1])  # of each line's words and what stands between them
 
         def total(values, a, b):
             c = np.zeros(len(values) + 1, dtype=np.int64)
@@ -108,18 +115,21 @@ class Lines:
         x[:, 9] = self.words >= 12
         x[:, 10] = symbols > 0.01
         x[:, 11] = (self.words >= 20) & (same_line > 0.8)
+        if len(frequent):
+            x[:, 12] = frequent[np.minimum(np.searchsorted(frequent, self.hashes), len(frequent) - 1)] == self.hashes
+        x[0, 13] = x[-1, 14] = 1
         self.x = x
 
 
-def viterbi(unary: np.ndarray, step: float) -> np.ndarray:
-    """Best 0/1 path for scores ``unary`` of label 1 against 0 and ``step`` for equal neighbours; ties go to 1."""
+def viterbi(unary: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Best 0/1 path for scores ``unary`` of label 1 against 0 and ``steps`` [before, after]; ties go to 1."""
+    (s00, s01), (s10, s11) = steps.tolist()
     zero, one, back = 0.0, 0.0, []
     for i, u in enumerate(unary.tolist()):
         if i:
-            z = (zero + step, one)
-            o = (zero, one + step)
-            back.append((z[1] >= z[0], o[1] >= o[0]))
-            zero, one = max(z), max(o)
+            z0, z1, o0, o1 = zero + s00, one + s10, zero + s01, one + s11
+            back.append((z1 >= z0, o1 >= o0))
+            zero, one = max(z0, z1), max(o0, o1)
         one += u
     out = np.zeros(len(unary), dtype=np.int64)
     if len(unary):
@@ -131,90 +141,139 @@ def viterbi(unary: np.ndarray, step: float) -> np.ndarray:
     return out
 
 
-def fit(chains: list[tuple[np.ndarray, int]], epochs: int = 60, rate: float = 0.5, l2: float = 0.01) -> tuple[np.ndarray, float]:
-    """Maximum likelihood of a two-label chain by gradient steps; all lines of a chain have its label.
+def posteriors(u: np.ndarray, steps: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of label 1 of every line, probabilities [.., before, after] of every pair) of padded chains u [m, t]."""
+    m, t = u.shape
+    a, b = np.zeros((m, t, 2)), np.zeros((m, t, 2))
+    a[:, 0, 1] = u[:, 0]
+    for i in range(1, t):
+        x = np.logaddexp(a[:, i - 1, 0, None] + steps[0], a[:, i - 1, 1, None] + steps[1])
+        x[:, 1] += u[:, i]
+        a[:, i] = np.where(mask[:, i, None], x, a[:, i - 1])
+    for i in range(t - 2, -1, -1):
+        y = b[:, i + 1].copy()
+        y[:, 1] += u[:, i + 1]
+        x = np.logaddexp(steps[:, 0] + y[:, 0, None], steps[:, 1] + y[:, 1, None])
+        b[:, i] = np.where(mask[:, i + 1, None], x, 0.0)
+    norm = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
+    p1 = np.exp(a[:, :, 1] + b[:, :, 1] - norm[:, None])
+    after = b[:, 1:].copy()
+    after[:, :, 1] += u[:, 1:]
+    pairs = np.exp(a[:, :-1, :, None] + steps + after[:, :, None, :] - norm[:, None, None, None]) * mask[:, 1:, None, None]
+    return p1, pairs
 
-    chains: (feature rows, label). Chains are padded and run forward and backward together.
-    """
-    chains = [c for c in chains if len(c[0])]
-    if len({y for _, y in chains}) < 2:
-        return PRIOR.copy(), PRIOR_STEP
-    weight_of = {y: 0.5 / sum(1 for _, z in chains if z == y) for y in (0, 1)}
+
+def fit_chains(chains: list[tuple[np.ndarray, np.ndarray, float]], w: np.ndarray, steps: np.ndarray, epochs: int = 60, rate: float = 12.0, l2: float = 0.00005) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum likelihood of a two-label chain by gradient steps. chains: (feature rows, label of every row, weight)."""
     longest = 64  # longer chains train as several
-    parts = [(x[i : i + longest], y, weight_of[y] / len(x)) for x, y in chains for i in range(0, len(x), longest)]
+    parts = [(x[i : i + longest], y[i : i + longest], c / len(x)) for x, y, c in chains for i in range(0, len(x), longest)]
     m, t = len(parts), max(len(p[0]) for p in parts)
-    x, mask = np.zeros((m, t, N_FEATURES)), np.zeros((m, t), dtype=bool)
-    for i, (rows, _, _) in enumerate(parts):
-        x[i, : len(rows)], mask[i, : len(rows)] = rows, True
-    y = np.array([p[1] for p in parts], dtype=float)[:, None]
+    x, y, mask = np.zeros((m, t, N_FEATURES)), np.zeros((m, t)), np.zeros((m, t), dtype=bool)
+    for i, (rows, labels, _) in enumerate(parts):
+        x[i, : len(rows)], y[i, : len(rows)], mask[i, : len(rows)] = rows, labels, True
     c = np.array([p[2] for p in parts])[:, None]
-    w, step = PRIOR * 0.5, 0.5
+    lab = np.stack([1 - y, y], 2)
+    true_pairs = lab[:, :-1, :, None] * lab[:, 1:, None, :] * mask[:, 1:, None, None]
     for _ in range(epochs):
-        u = x @ w
-        a = np.zeros((m, t, 2))
-        b = np.zeros((m, t, 2))
-        a[:, 0, 1] = u[:, 0]
-        for i in range(1, t):
-            z = np.logaddexp(a[:, i - 1, 0] + step, a[:, i - 1, 1])
-            o = np.logaddexp(a[:, i - 1, 0], a[:, i - 1, 1] + step) + u[:, i]
-            a[:, i] = np.where(mask[:, i, None], np.stack([z, o], 1), a[:, i - 1])
-        for i in range(t - 2, -1, -1):
-            z = np.logaddexp(b[:, i + 1, 0] + step, b[:, i + 1, 1] + u[:, i + 1])
-            o = np.logaddexp(b[:, i + 1, 0], b[:, i + 1, 1] + u[:, i + 1] + step)
-            b[:, i] = np.where(mask[:, i + 1, None], np.stack([z, o], 1), 0.0)
-        norm = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
-        p1 = np.exp(a[:, :, 1] + b[:, :, 1] - norm[:, None])
-        g = ((y - p1) * mask * c)[:, :, None] * x
-        same = np.zeros((m, t - 1)) if t > 1 else np.zeros((m, 0))
-        for i in range(t - 1):
-            s0 = a[:, i, 0] + step + b[:, i + 1, 0]
-            s1 = a[:, i, 1] + step + u[:, i + 1] + b[:, i + 1, 1]
-            same[:, i] = np.exp(s0 - norm) + np.exp(s1 - norm)
-        gs = ((1 - same) * mask[:, 1:] * c).sum()
-        w = w + rate * (g.sum((0, 1)) - l2 * 0.1 * w) * 4
-        step = min(2.0, max(0.0, step + rate * gs))
-    return w, float(step)
-
-
-_SAMPLED = "label int, n int, x binary"
+        p1, pairs = posteriors(x @ w, steps, mask)
+        w = w + rate * ((((y - p1) * mask * c)[:, :, None] * x).sum((0, 1)) - l2 * w)
+        steps = steps + 0.5 * rate * (((true_pairs - pairs) * c[:, :, None, None]).sum((0, 1)) - l2 * steps)
+    return w, steps
+
+
+def frequent_lines(docs: list[np.ndarray]) -> np.ndarray:
+    """Sorted hashes of the lines that stand in ``MIN_DOCS`` documents or more which else have little in common: of their
+    other lines four fifths or more must differ, so lines of copies are no boilerplate."""
+    where: dict[int, list[int]] = {}
+    lines = [set(h.tolist()) for h in docs]
+    for i, have in enumerate(lines):
+        for h in have:
+            where.setdefault(h, []).append(i)
+    out = []
+    for h, at in where.items():
+        if len(at) >= MIN_DOCS:
+            others, total = set(), 0
+            for i in at:
+                others |= lines[i]
+                total += len(lines[i]) - 1
+            if total and len(others) - 1 >= 0.8 * total:
+                out.append(h)
+    return np.array(sorted(out), dtype=np.uint64)
+
+
+def fit(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], rounds: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, steps, frequent lines) from documents (feature rows, line hashes, words of each line, quality)."""
+    docs = [d for d in docs if len(d[0])]
+    if len({d[3] for d in docs}) < 2:
+        return PRIOR.copy(), PRIOR_STEPS.copy(), np.zeros(0, dtype=np.uint64)
+    frequent = frequent_lines([h for _, h, _, _ in docs])
+    class_weight = {y: 0.5 / sum(1 for d in docs if d[3] == y) for y in (0, 1)}
+    chains = []
+    for x, h, words, good in docs:
+        x = x.copy()
+        x[:, 12] = np.isin(h, frequent)
+        chains.append((x, words, good))
+    w, steps = PRIOR * 0.5, PRIOR_STEPS * 0.5
+    for _ in range(rounds):
+        labelled = []
+        for x, words, good in chains:
+            boiler = x[:, 12] > 0
+            if good:
+                y = ~boiler
+            else:
+                y = (viterbi(x @ w, steps) == 1) & ~boiler
+                if 2 * words[y].sum() > words.sum():  # take the least sure of them too, until half of the words are out
+                    order = np.argsort(x @ w, kind="stable")
+                    out = np.cumsum(words[order]) - words[order] < (words.sum() + 1) // 2
+                    y[order[out]] = False
+            labelled.append((x, y.astype(float), class_weight[good]))
+        w, steps = fit_chains(labelled, w, steps)
+    return w, steps, frequent
+
+
+_SAMPLED = "label int, n int, x binary, hashes binary, words binary"
 
 
 def _features(batches):
     for rb in batches:
-        xs = [Lines((v.as_py() or "").encode()).x.astype(np.uint8) for v in rb.column("text")]
-        yield pa.RecordBatch.from_arrays([rb.column("label"), pa.array([len(x) for x in xs], pa.int32()), pa.array([x.tobytes() for x in xs], pa.binary())], names=["label", "n", "x"])
+        lines = [Lines((v.as_py() or "").encode()) for v in rb.column("text")]
+        columns = [[t.x.astype(np.uint8).tobytes() for t in lines], [t.hashes.tobytes() for t in lines], [t.words.astype(np.int64).tobytes() for t in lines]]
+        yield pa.RecordBatch.from_arrays([rb.column("label"), pa.array([len(t.x) for t in lines], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["label", "n", "x", "hashes", "words"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = 400) -> tuple[np.ndarray, float]:
-    """Fit on at most ``sample_per_class`` labelled documents of either class, chosen by a hash of doc_id."""
+def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = 400, sample_chars: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fit on at most ``sample_per_class`` labelled documents of either class and at most ``sample_chars`` characters, chosen
+    by a hash of doc_id; of rows with one doc_id the first by a hash of the text."""
     chosen = None
     for y in (0, 1):
         part = labels.filter(F.col("quality") == y).select("doc_id", F.lit(y).alias("label")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_features, _SAMPLED).collect()
-    return fit([(np.frombuffer(r.x, dtype=np.uint8).reshape(r.n, N_FEATURES).astype(float), r.label) for r in sorted(sample, key=lambda r: (r.label, r.n, bytes(r.x)))])
+    sample = docs.select("doc_id", "text").filter(F.length("text") <= sample_chars).join(F.broadcast(chosen), "doc_id")
+    one = sample.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = sorted(arrow_map(one.select("label", "text"), _features, _SAMPLED).collect(), key=lambda r: (r.label, r.n, bytes(r.x), bytes(r.hashes)))
+    return fit([(np.frombuffer(r.x, dtype=np.uint8).reshape(r.n, N_FEATURES).astype(float), np.frombuffer(r.hashes, dtype=np.uint64), np.frombuffer(r.words, dtype=np.int64), r.label) for r in rows])
 
 
 _JUDGED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
 
 
-def judge(docs: DataFrame, weights: np.ndarray, step: float, min_share: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, weights: np.ndarray, steps: np.ndarray, frequent: np.ndarray, min_share: float = 0.5) -> DataFrame:
     """Base counts, the base verdict, and the share of words that stand in content lines."""
 
     def run(batches):
         for rb in batches:
             rows = []
             for v in rb.column("text"):
-                t = Lines((v.as_py() or "").encode())
+                t = Lines((v.as_py() or "").encode(), frequent)
                 failed = t.n_words < 20 or 100 * t.n_repeat_words > 30 * t.n_words
-                content = int((t.words * viterbi(t.x @ weights, step)).sum()) if t.n_words else 0
+                content = int((t.words * viterbi(t.x @ weights, steps)).sum()) if t.n_words else 0
                 share = content / t.n_words if t.n_words else 0.0
                 rows.append((t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed, not failed and share >= min_share, share))
             cols = list(zip(*rows, strict=True)) or [()] * 8
             types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[x.split()[0] for x in _JUDGED.split(", ")])
 
-    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, _JUDGED)
+    return arrow_map(docs.select("doc_id", "text"), run, _JUDGED)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

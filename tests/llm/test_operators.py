@@ -135,9 +135,37 @@ def test_line_quality_counts():
 def test_viterbi_equals_all_paths():
     rng = np.random.default_rng(4)
     for _ in range(50):
-        u, step = rng.normal(size=6), float(rng.uniform(0, 1))
-        best = max(range(64), key=lambda m: sum(u[i] for i in range(6) if m >> i & 1) + step * sum((m >> i & 1) == (m >> (i + 1) & 1) for i in range(5)))
-        assert line_quality.viterbi(u, step).tolist() == [best >> i & 1 for i in range(6)]
+        u, steps = rng.normal(size=6), rng.normal(size=(2, 2))
+        best = max(range(64), key=lambda m: sum(u[i] for i in range(6) if m >> i & 1) + sum(steps[m >> i & 1, m >> (i + 1) & 1] for i in range(5)))
+        assert line_quality.viterbi(u, steps).tolist() == [best >> i & 1 for i in range(6)]
+
+
+def test_line_posteriors_equal_all_paths():
+    rng = np.random.default_rng(5)
+    u, steps = rng.normal(size=(1, 5)), rng.normal(size=(2, 2))
+    score = lambda m: sum(u[0, i] for i in range(5) if m >> i & 1) + sum(steps[m >> i & 1, m >> (i + 1) & 1] for i in range(4))
+    z = sum(np.exp(score(m)) for m in range(32))
+    p1, pairs = line_quality.posteriors(u, steps, np.ones((1, 5), dtype=bool))
+    for i in range(5):
+        assert p1[0, i] == pytest.approx(sum(np.exp(score(m)) for m in range(32) if m >> i & 1) / z)
+    assert pairs[0, 2, 0, 1] == pytest.approx(sum(np.exp(score(m)) for m in range(32) if not m >> 2 & 1 and m >> 3 & 1) / z)
+
+
+def test_lines_of_copies_are_not_frequent():
+    docs = [np.array(x, dtype=np.uint64) for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 6], [1, 2, 3, 4, 7], [9, 10, 11], [9, 12, 13], [9, 14, 15], [20], [20], [20])]
+    assert line_quality.frequent_lines(docs).tolist() == [9]
+
+
+def test_line_quality_finds_lines_of_both_kinds():
+    rng = random.Random(4)
+    footer = "all rights reserved by the people of this place and others"
+    junk = lambda: " | ".join(prose(rng, 1) + "###" for _ in range(14))
+    docs = [([prose(rng, 14) for _ in range(4)] + [footer] * (i % 2), 1) for i in range(40)] + [([prose(rng, 14)] + [junk() for _ in range(3)], 0) for i in range(40)]
+    lines = [(line_quality.Lines("\n".join(d).encode()), y) for d, y in docs]
+    w, steps, frequent = line_quality.fit([(t.x, t.hashes, t.words, y) for t, y in lines])
+    for text, want in (([prose(rng, 14), prose(rng, 14), footer], [1, 1, 0]), ([prose(rng, 14), junk(), junk(), prose(rng, 14), prose(rng, 14)], [1, 0, 0, 1, 1])):
+        t = line_quality.Lines("\n".join(text).encode(), frequent)
+        assert line_quality.viterbi(t.x @ w, steps).tolist() == want
 
 
 def test_line_quality_learns(spark):
