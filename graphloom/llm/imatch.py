@@ -8,7 +8,7 @@ sub-lexicons that aren't empty for both texts, the sparsest first.
 
 Defined results: null text is empty text; a text without lexicon terms is fingerprinted by its whole content, so
 equal texts always have equal fingerprints; documents that share a doc_id are ordered by a hash of the text; rows
-without a doc_id come last; an empty table gives an empty table; a single document is its own successor; columns
+without a doc_id come last, in the order of that hash; an empty table gives an empty table; a single document is its own successor; columns
 other than doc_id and text are ignored.
 """
 
@@ -98,26 +98,43 @@ def likeness(a, b, subsets: int, enough: int = 16):
     return out.when(F.size(seen(ends[-1])) > 0, share(ends[-1])).otherwise(whole)
 
 
-def with_next(df: DataFrame, columns: list[str], rows_a_bucket: int = 1000, max_buckets: int = 4096) -> DataFrame:
-    """Add ``next_<c>``: the columns of the next row by ascending (doc_id, hash of text); the last row gets the first's.
+def _rank(bounds, width: int, x):
+    """Number of bounds up to ``x``; ``bounds`` are sorted, in rows of ``width``, so it takes two short scans."""
+    row = F.size(F.filter(bounds, lambda r: F.get(r, 0) <= x))
+    inner = F.size(F.filter(F.get(bounds, row - 1), lambda b: b <= x))
+    return F.when(row == 0, 0).otherwise((row - 1) * width + inner)
 
-    Rows are dealt by quantiles of doc_id; the first row of each bucket is also sent to the bucket before it, so
-    no bucket needs another and nothing runs over all rows in one task. Only bucket limits come to the driver.
+
+def with_next(df: DataFrame, columns: list[str], prepare=lambda df: df, rows_a_bucket: int = 2000, max_buckets: int = 100_000) -> DataFrame:
+    """``prepare(df)`` with ``next_<c>``: the columns of the next row by ascending (doc_id, hash of text); the last row
+    gets the first's.
+
+    Rows are dealt by ranges of doc_id, those without one by ranges of the hash; at 100 TB a range of a hundred thousand is
+    a gigabyte. The first row of each range is also sent to the range before it, so no range needs another and nothing
+    runs over all rows in one task. What is broadcast or held as a value is a few numbers a range.
     """
-    n, bounds = df.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", [i / 64 for i in range(1, 64)], 10000)).first()
-    buckets = min(max_buckets, max(1, n // rows_a_bucket))
-    if buckets > 1:
-        bounds = df.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10000)).first()[0]
-    bounds = sorted(set(bounds or []))
-    bucket = F.expr(f"coalesce(size(filter(array({','.join(f'{b}L' for b in bounds)}), b -> b < doc_id)), {len(bounds) + 1})" if bounds else "0")
-    dealt = df.withColumn("__bucket", bucket.cast("int"))
-    firsts = sorted(dealt.groupBy("__bucket").agg(F.min("doc_id").alias("first")).collect())
-    before = {b: firsts[i - 1][0] for i, (b, _) in enumerate(firsts)}
-    ghosts = dealt.filter(F.col("doc_id").isin([f for _, f in firsts if f is not None]) | F.col("doc_id").isNull()) if firsts else dealt.limit(0)
-    moved = F.create_map(*(F.lit(x) for pair in before.items() for x in pair)) if before else F.create_map(F.lit(0), F.lit(0))
-    both = dealt.withColumns({"__ghost": F.lit(0)}).unionByName(ghosts.withColumns({"__ghost": F.lit(1), "__bucket": F.element_at(moved, F.col("__bucket"))}))
-    w = Window.partitionBy("__bucket").orderBy("__ghost", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    return both.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).filter("__ghost = 0").drop("__ghost", "__bucket")
+    n, n_null = df.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    buckets, extra = (min(max_buckets, max(1, k // rows_a_bucket)) for k in (n - n_null, n_null))
+    ids = df.filter("doc_id IS NOT NULL").select("doc_id").repartitionByRange(buckets, "doc_id")
+    lows = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("low"))
+    width = max(1, int(buckets**0.5))
+    order = Window.orderBy("low")  # one row a range
+    rows = lows.withColumn("i", F.row_number().over(order) - 1).groupBy(F.floor(F.col("i") / width).alias("g")).agg(F.array_sort(F.collect_list("low")).alias("r"))
+    table = materialize(rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "r"))), lambda x: x["r"]).alias("b")), "imatch-bounds")
+    # the table is a column first, as a subquery may not stand inside a lambda
+    hashed = df.withColumn("__hash", F.xxhash64("text")).withColumn("__bounds", table.scalar())
+    by_hash = F.least(F.lit(extra - 1), F.floor((F.col("__hash") / 2.0**64 + 0.5) * extra)) + buckets + 1
+    dealt = hashed.withColumn("__bucket", F.when(F.col("doc_id").isNull(), by_hash).otherwise(_rank(F.col("__bounds"), width, F.col("doc_id"))).cast("long")).drop("__bounds")
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__hash"))
+    firsts = dealt.groupBy("__bucket").agg(F.min(place).alias("f"))
+    around = Window.orderBy("__bucket")  # one row a range
+    before = F.coalesce(F.lag("__bucket").over(around), F.max("__bucket").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    firsts = firsts.select(F.col("f.doc_id").alias("f_id"), F.col("f.__hash").alias("f_hash"), F.col("__bucket").alias("f_bucket"), before.alias("f_before"))
+    same = (F.col("__bucket") == F.col("f_bucket")) & F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("__hash") == F.col("f_hash"))
+    ghosts = dealt.join(F.broadcast(firsts), same).groupBy(F.col("f_before").alias("__bucket")).agg(F.first(F.struct(*df.columns, "__hash")).alias("r")).select("r.*", "__bucket")
+    both = prepare(dealt.withColumn("__ghost", F.lit(0)).unionByName(ghosts.withColumn("__ghost", F.lit(1))))
+    w = Window.partitionBy("__bucket").orderBy("__ghost", F.col("doc_id").asc_nulls_last(), "__hash")
+    return both.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).filter("__ghost = 0").drop("__ghost", "__bucket", "__hash")
 
 
 def report(docs: DataFrame, slots: int = 1 << 16, subsets: int = 64) -> DataFrame:
@@ -126,7 +143,7 @@ def report(docs: DataFrame, slots: int = 1 << 16, subsets: int = 64) -> DataFram
     table = materialize(lexicon(docs, slots=slots), "imatch-lexicon")
     lex = table.scalar()
     mark = lambda df, text, out: fingerprint_columns(df, text, lex, slots, subsets, out)
-    both = with_next(mark(docs, "text", "fingerprint"), ["text", "fingerprint"])
+    both = with_next(docs, ["text", "fingerprint"], lambda df: mark(df, "text", "fingerprint"))
     text, after = F.coalesce("text", F.lit("")), F.coalesce("next_text", F.lit(""))
     n = F.length(text)
     half = F.floor(n / 2).cast("int")

@@ -193,6 +193,16 @@ def test_imatch_edits_and_likeness(spark):
     assert got[200].fingerprint == got[201].fingerprint and got[200].near_next == 1.0 and 0 <= got[0].near_next <= 1
 
 
+def test_imatch_next_over_many_ranges(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(60), f"t{k}") for k in range(90)] + [(None, f"n{k}") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1]]))]
+    got = {r.text: r.next_text for r in imatch.with_next(df, ["text"], rows_a_bucket=4).collect()}
+    assert got == {t: order[(i + 1) % len(order)] for i, t in enumerate(order)}
+
+
 def test_imatch_lexicon_keeps_every_term_of_the_band(spark):
     rows = [(i, f"word{i // 2} term{i // 4}") for i in range(400)]
     lex = imatch.lexicon(table(spark, rows), slots=16).first().lex
@@ -374,6 +384,25 @@ def test_forward_sums_all_segmentations():
     words = ["the", "straße", "ab", "日本"]
     got = language_id.forward(words, pieces, probs)
     assert np.allclose(got, [np.log(brute(language_id.MARK + w)) for w in words])
+    for w in ("the", "straßenbahnhaltestellen", "lundiàparis"):  # as a long word, rescaled, also over block borders
+        for block in (4, 1 << 16):
+            assert np.allclose(language_id.forward_long(w, pieces, probs, block), language_id.forward([w], pieces, probs)[0])
+    long = "donaudampfschifffahrtsgesellschaft" * 40
+    assert np.isfinite(language_id.forward([long], pieces, probs)).all()
+    assert np.allclose(language_id.forward_long(long, pieces, probs, 100), language_id.forward([long], pieces, probs)[0])
+
+
+def test_language_id_of_many_languages(monkeypatch):
+    path = language_id.default_vocabulary()
+    rng = np.random.default_rng(12)
+    size = language_id.Pieces(path).size
+    columns = [(np.sort(rng.choice(size, 3000, replace=False)), np.full(3000, 3e-4), 1e-9) for _ in range(5)]
+    whole = language_id.Scorer(path, list("abcde"), columns)
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    blocks = language_id.Scorer(path, list("abcde"), columns, limit=10)
+    blocks.limit = 3  # words are scored a few at a time, and forgotten
+    texts = ["the quick brown fox jumps over the lazy dog", "", None, "one two"]
+    assert [x for x, _ in blocks.predict(texts)] == [x for x, _ in whole.predict(texts)]
 
 
 def test_language_id_held_out(spark):
