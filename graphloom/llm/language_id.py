@@ -197,8 +197,10 @@ class Scorer:
             if not self.languages:
                 out += [(UNDETERMINED, 0.0)] * len(lists)
                 continue
+            if len(self.known) > self.limit:
+                self.forget()
             fresh = {w for ws in lists for w in ws if w not in self.known}
-            if fresh and len(self.known) + len(fresh) <= self.limit:
+            if fresh and len(fresh) <= self.limit:
                 self.learn(fresh)  # many words at once are cheaper
             for ws in lists:
                 if not ws:
