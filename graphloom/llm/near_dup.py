@@ -34,9 +34,10 @@ WORDS = 5
 COORDS = 128
 TREES = 10
 MISS = 1e-4
-DEPTH = 12
+DEPTH = 8
 NODE = 512
-CHUNK = 16_384  # of a node of the last depth, what one task compares
+CHUNK = 16_384  # classes of a node that one task compares
+TRIES = 256  # pivots by which a node of up to that many classes may be settled before it is branched further
 BIG_SETS = 4_000_000
 PIVOTS = 64
 _RNG = np.random.default_rng(20240229)
@@ -105,11 +106,11 @@ def _paths(tree: int, trees: int, depth: int):
     return run
 
 
-def link_groups(n: int, compare) -> list[tuple[int, int]]:
+def link_groups(n: int, compare, tries: int | None = None) -> list[tuple[int, int]] | None:
     """Spanning links of the components of 0..n-1, where compare(i, others) tells which of others i is linked with.
 
     Members become pivots and are compared with all members of other components; once every member outside the largest
-    component has been one, no pair in different components is left unseen.
+    component has been one, no pair in different components is left unseen. None if that takes over ``tries`` pivots.
     """
     label, links = np.arange(n), []
     done = np.zeros(n, dtype=bool)
@@ -118,6 +119,8 @@ def link_groups(n: int, compare) -> list[tuple[int, int]]:
         open_ = np.flatnonzero(~done & (label != int(counts.argmax())) | ~done & (counts[label] == 1))
         if not len(open_):
             return links
+        if tries is not None and done.sum() >= tries:
+            return None
         p = int(open_[0])
         done[p] = True
         others = np.flatnonzero(label != label[p])
@@ -150,12 +153,12 @@ def _grouped(batches, key: str):
         yield last, pa.Table.from_batches(held)
 
 
-def _compare_nodes(least_equal: int):
-    """Tentative links in each node, from the low bytes of the signatures."""
+def _compare_nodes(least_equal: int, tries: int | None = None):
+    """Tentative links in each node, from the signatures; (node, null) for one that ``tries`` pivots don't settle."""
 
     def run(batches):
         left, right = [], []
-        for _, t in _grouped(batches, "node"):
+        for node, t in _grouped(batches, "node"):
             if t.num_rows < 2:
                 continue
             cid = t.column("cid").to_numpy()
@@ -163,7 +166,11 @@ def _compare_nodes(least_equal: int):
             if len(cid) == 2:
                 links = [(0, 1)] if int((sig[0] == sig[1]).sum()) >= least_equal else []
             else:
-                links = link_groups(len(cid), lambda p, o, s=sig: (s[o] == s[p]).sum(1) >= least_equal)
+                links = link_groups(len(cid), lambda p, o, s=sig: (s[o] == s[p]).sum(1) >= least_equal, tries)
+            if links is None:
+                left.append(int(node))
+                right.append(None)
+                continue
             for i, j in links:
                 if cid[i] != cid[j]:
                     left.append(int(cid[i]))
@@ -179,13 +186,15 @@ def _compare_nodes(least_equal: int):
 _PATHS = "cid long, tree int, node long"
 
 
-def _leaves(classes: DataFrame, tree: int, trees: int, depth: int, node: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """(cid, node, m, d) of the leaves of some trees, (cid, d) of the classes below the first depth, and tables to discard.
+def _leaves(classes: DataFrame, tree: int, trees: int, depth: int, node: int, chunk: int, least_equal: int) -> tuple[DataFrame, DataFrame | None, list[DataFrame], list[DataFrame]]:
+    """(cid, node, m, d) of the leaves of some trees, (cid, d) of the classes below the first depth, links that were found
+    on the way, and tables to discard.
 
-    A node of at most ``node`` classes is a leaf, and so is every one of the last depth. ``m`` is its size, ``d`` its depth.
+    A node of at most ``node`` classes is a leaf, and so is every one of the last depth. One of up to ``chunk`` classes that
+    a few pivots settle, as they do with near copies, needs no branching. ``m`` is a node's size, ``d`` its depth.
     """
     rows = arrow_map(classes.select("cid", "mh"), _paths(tree, trees, 1), _PATHS)
-    leaves, deep, used = None, None, []
+    leaves, deep, links, used = None, None, [], []
     for d in range(1, depth + 1):
         rows = materialize(rows, f"near-rows-{d}")
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -195,14 +204,23 @@ def _leaves(classes: DataFrame, tree: int, trees: int, depth: int, node: int) ->
         small = sized.filter(F.col("m") <= node) if d < depth else sized
         small = small.select("cid", "node", "m", F.lit(d).alias("d"))
         leaves = small if leaves is None else leaves.unionByName(small)
-        large = sized.filter(F.col("m") > node).select("cid", "tree")
+        large = sized.filter(F.col("m") > node)
         if d == depth or large.isEmpty():
             break
+        middle = large.filter(F.col("m") <= chunk).select("cid", "node").join(classes.select("cid", "mh"), "cid")
+        tried = materialize(arrow_map(middle.repartition("node").sortWithinPartitions("node"), _compare_nodes(least_equal, TRIES), "a long, b long"), "near-tried")
+        links.append(tried.filter("b IS NOT NULL"))
+        used.append(tried)
+        open_ = tried.filter("b IS NULL").select(F.col("a").alias("node")).unionByName(large.filter(F.col("m") > chunk).select("node").distinct())
+        large = materialize(large.join(open_, "node", "left_semi").select("cid", "tree"), "near-large")
+        used.append(large)
+        if large.isEmpty():
+            break
         below = large.select("cid", F.lit(d + 1).alias("d"))
         deep = below if deep is None else deep.unionByName(below)
         deeper = arrow_map(classes.join(large.select("cid").distinct(), "cid", "left_semi").select("cid", "mh"), _paths(tree, trees, d + 1), _PATHS)
         rows = large.join(deeper, ["cid", "tree"])
-    return leaves, deep, used
+    return leaves, deep, links, used
 
 
 def trees_for(depth: int, miss: float = MISS) -> int:
@@ -216,12 +234,13 @@ def candidates(classes: DataFrame, depth: int = DEPTH, node: int = NODE, chunk:
     links, tree, todo = None, 0, classes
     trees, used = TREES, []
     while True:
-        leaves, deep, tables = _leaves(todo, tree, trees, depth, node)
+        leaves, deep, early, tables = _leaves(todo, tree, trees, depth, node, chunk, least_equal)
         used += tables
         with_sig = leaves.select("cid", "node", "m").join(classes.select("cid", "mh"), "cid")
         one_task = with_sig.filter(F.col("m") <= max(node, chunk)).select("cid", "node", "mh").repartition("node").sortWithinPartitions("node")
         found = arrow_map(one_task, _compare_nodes(least_equal), "a long, b long")
-        links = found if links is None else links.unionByName(found)
+        for more in (found, *early):
+            links = more if links is None else links.unionByName(more)
         if not leaves.filter(F.col("m") > max(node, chunk)).isEmpty():
             large = with_sig.filter(F.col("m") > max(node, chunk)).select(F.col("node").alias("comp"), "cid", F.col("mh").alias("x"))
             labels = _pivot_rounds(large, _equal_signatures(least_equal), chunk * COORDS * 4)

@@ -524,6 +524,7 @@ def test_near_dup_loses_no_link_in_large_nodes(spark, monkeypatch, options):
     seen = []
     rounds = near_dup._pivot_rounds
     monkeypatch.setattr(near_dup, "_pivot_rounds", lambda *a: seen.append(1) or rounds(*a))
+    monkeypatch.setattr(near_dup, "TRIES", 4)
     rows = family(3, 90)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.report(table(spark, rows), **options).collect()}
     assert got == near_brute(rows)
