@@ -1,7 +1,8 @@
 """Source files to nodes and edges, as one distributed pass of Arrow batches.
 
-Python files go through the standard library's syntax trees. Other languages give their File node; a parser for one can
-be added with ``register_parser`` (path, text) -> iterable of records.
+Python files go through the standard library's syntax trees, without the lines that don't parse; JavaScript, TypeScript,
+Go, Rust and Java through ``braces``. Other languages give their File node; a parser for one can be added with
+``register_parser`` (path, text) -> iterable of records.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import braces
+
 RECORD = "record string, kind string, name string, qualified_name string, file_path string, line_start long, line_end long, language string, parent_name string, params string, return_type string, is_test boolean, file_hash string, source_qualified string, target_qualified string, line long"
 _FIELDS = [x.split()[0] for x in RECORD.split(", ")]
 _PARSERS: dict[str, Callable[[str, str], Iterable[dict]]] = {}
@@ -87,17 +90,37 @@ class _Python(ast.NodeVisitor):
         self.generic_visit(n)
 
 
-def parse_python(path: str, text: str) -> list[dict]:
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
+def parse_python(path: str, text: str, most_faults: int = 100) -> list[dict]:
+    """Records of what parses: up to ``most_faults`` faulty lines become empty statements."""
+    lines, tree = text.replace("\0", " ").split("\n"), None
+    for _ in range(most_faults):
+        try:
+            tree = ast.parse("\n".join(lines))
+            break
+        except SyntaxError as e:
+            at = min(len(lines), e.lineno or 1) - 1
+            bare = "expected an indented block" in (e.msg or "")
+            while at > 0 and (not lines[at].strip() or bare and not lines[at].rstrip().endswith(":")):
+                at -= 1
+            kept = lines[at][: len(lines[at]) - len(lines[at].lstrip())]
+            if bare and lines[at].rstrip().endswith(":"):
+                lines[at] += " pass"
+            else:
+                lines[at] = "" if isinstance(e, IndentationError) or lines[at].strip() == "pass" else f"{kept}pass"
+        except (ValueError, RecursionError, MemoryError):
+            return []
     v = _Python(path, text)
-    v.visit(tree)
+    try:
+        if tree is not None:
+            v.visit(tree)
+    except RecursionError:  # what was seen before the deep expression stays
+        pass
     return v.out
 
 
 register_parser("python", parse_python)
+for _language in braces.LANGUAGES:
+    register_parser(_language, braces.parser(_language, is_test, qualify))
 
 
 def parse_text(path: str, text: str, language: str, file_hash: str = "") -> list[dict]:

@@ -1,3 +1,5 @@
+import pytest
+
 from graphloom.operators.store import Snapshots
 from graphloom.sources import registry
 from graphloom.sources.files import scan_files
@@ -60,3 +62,34 @@ def test_registry(spark, tmp_path):
     assert [r.alias for r in registry.repos(spark, path).orderBy("path").collect()] == ["b", "dd"]
     registry.unregister(path, "dd")
     assert len(registry.load_registry(path)) == 1
+
+
+SNIPPETS = {
+    "javascript": "import x from './lib';\n// function no() {}\nclass Greeter {\n  hello(name) {\n    return shout(name);\n  }\n}\nfunction main(a, b) {\n  if (a) { run('f(1)'); }\n}\nconst test_it = (q) => { main(q); };\n",
+    "go": 'package p\nimport "fmt"\ntype Greeter struct {\n  n int\n}\nfunc (g *Greeter) hello(name string) string {\n  return shout(name)\n}\nfunc main(a int) {\n  run(a)\n}\nfunc test_it() { main(1) }\n',
+    "rust": "use std::fmt;\nstruct Greeter { n: u8 }\nimpl Greeter {\n  fn hello(&self, name: &str) -> String {\n    shout(name)\n  }\n}\nfn main() {\n  run(1);\n}\nfn test_it() { main(); }\n",
+    "java": "import java.util.List;\nclass Greeter {\n  public String hello(String name) {\n    return shout(name);\n  }\n}\nclass Other { void main(int a) { run(a); }\n void test_it() { main(1); } }\n",
+}
+
+
+@pytest.mark.parametrize("language", SNIPPETS)
+def test_brace_languages(language):
+    rows = parse_text("src/f", SNIPPETS[language], language)
+    nodes = {r["qualified_name"]: r for r in rows if r["record"] == "node"}
+    edges = {(r["kind"], r["source_qualified"], r["target_qualified"]) for r in rows if r["record"] == "edge"}
+    owner = "Other." if language == "java" else ""
+    assert nodes["src/f::Greeter"]["kind"] == "Class" and nodes["src/f::Greeter.hello"]["parent_name"] == "Greeter"
+    assert nodes[f"src/f::{owner}main"]["kind"] == "Function" and nodes[f"src/f::{owner}test_it"]["kind"] == "Test"
+    hello = nodes["src/f::Greeter.hello"]
+    assert hello["line_end"] == hello["line_start"] + 2
+    assert {("CALLS", "src/f::Greeter.hello", "shout"), ("CALLS", f"src/f::{owner}main", "run"), ("CALLS", f"src/f::{owner}test_it", "main"), ("CONTAINS", "src/f::Greeter", "src/f::Greeter.hello")} <= edges
+    assert sum(k == "IMPORTS_FROM" for k, _, _ in edges) == 1 and not any(t in ("no", "f", "if") for _, _, t in edges)
+    for cut in range(0, len(SNIPPETS[language]), 7):  # unfinished code
+        assert parse_text("src/f", SNIPPETS[language][:cut], language)[0]["kind"] == "File"
+
+
+def test_faulty_python_keeps_the_rest():
+    rows = parse_text("a.py", "def f():\n    return 1\n\ndef broken(:\n    pass\n\ndef g():\n    f()\n", "python")
+    assert {r["name"] for r in rows if r["record"] == "node"} >= {"f", "g"}
+    deep = parse_text("a.py", "def f():\n    pass\nx = " + "+".join(["1"] * 30000) + "\n", "python")
+    assert deep[0]["kind"] == "File"
