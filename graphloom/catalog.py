@@ -254,7 +254,8 @@ _add("matches_entry_name", lambda c: c.nodes.filter(S.matches_entry_name()).sele
 _add("has_framework_decorator", lambda c: c.nodes.withColumn("extra", F.when(F.col("id") % 3 == 0, '{"decorators": ["app.get(1)", "x"]}').when(F.col("id") % 3 == 1, '{"decorators": "pytest.fixture"}').otherwise('{"decorators": "plain"}')).filter(S.has_framework_decorator()).select("id"), "SELECT id FROM nodes WHERE id%3<>2")
 _add("json_extra", lambda c: c.table("events").select("event_id", F.get_json_object(S.json_or_empty("props"), "$.k").cast("long").alias("k")), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", graph=False)
 _add("validate_git_ref", lambda c: c.table("orders").select("o_orderkey", S.is_valid_git_ref(F.concat(F.lit("v"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, ";rm").otherwise("~1"))).alias("ok"), S.is_valid_svn_revision(F.concat(F.lit("r"), F.col("o_orderkey").cast("string"), F.lit(":HEAD"))).alias("svn")), "SELECT o_orderkey, o_orderkey%2<>0 AS ok, true AS svn FROM orders", graph=False)
-_add("detect_language", lambda c: c.spark.createDataFrame([(f"dir/file.{x}",) for x in sorted(SF.LANGUAGE_OF)] + [("dir/README",), ("x.unknown",)], "path string").select("path", SF.detect_language(F.col("path")).alias("language")))
+_LANGUAGES = ", ".join([f"('dir/file.{x}', '{lang}')" for x, lang in sorted(SF.LANGUAGE_OF.items())] + ["('dir/README', NULL)", "('x.unknown', NULL)"])
+_add("detect_language", lambda c: c.spark.createDataFrame([(f"dir/file.{x}",) for x in sorted(SF.LANGUAGE_OF)] + [("dir/README",), ("x.unknown",)], "path string").select("path", SF.detect_language(F.col("path")).alias("language")), f"SELECT * FROM (VALUES {_LANGUAGES}) t(path, language)", graph=False)
 _add("file_hash", lambda c: c.table("pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("file_hash")), "SELECT page_id, sha256(html) AS file_hash FROM pages", graph=False)
 _add("contains_edges", lambda c: c.nodes.filter("kind != 'File' AND parent_name IS NULL").select(F.lit("CONTAINS").alias("kind"), F.col("file_path").alias("source_qualified"), F.col("qualified_name").alias("target_qualified")), "SELECT kind, source_qualified, target_qualified FROM edges WHERE kind='CONTAINS'")
 _add("parse_unified_diff", lambda c: K.parse_unified_diff(_diffs(c)), "SELECT n_nationkey AS diff_id, 'src/n' || n_nationkey || '.py' AS file_path, CAST(n_nationkey+1 AS BIGINT) AS start, CAST(n_nationkey+4 AS BIGINT) AS end FROM nation UNION ALL SELECT n_nationkey, 'lib/b.py', CAST(7 AS BIGINT), CAST(7 AS BIGINT) FROM nation UNION ALL SELECT n_nationkey, 'lib/b.py', CAST(20 AS BIGINT), CAST(20 AS BIGINT) FROM nation", graph=False)

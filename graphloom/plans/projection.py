@@ -31,7 +31,7 @@ _EDGES = """
 WITH {next},
 calls AS (SELECT 'CALLS' AS kind,a.qualified_name AS source_qualified,b.qualified_name AS target_qualified,a.file_path,o.o_orderkey AS line FROM o JOIN {nodes} a ON a.id=1000000+o.o_custkey JOIN {nodes} b ON b.id=1000000+o.nxt WHERE o.o_custkey<o.nxt),
 bare AS (SELECT 'CALLS' AS kind,a.qualified_name,CASE WHEN o_orderkey%2=0 THEN 'print' ELSE replace(s_name,'#','_') END,a.file_path,o_orderkey FROM {orders} JOIN {nodes} a ON a.id=1000000+o_custkey JOIN {supplier} ON s_suppkey=o_orderkey%10 WHERE o_orderkey%11=0),
-tested AS (SELECT DISTINCT 'TESTED_BY' AS kind,a.qualified_name,b.qualified_name,a.file_path,CAST(1 AS BIGINT) FROM {orders} JOIN {nodes} a ON a.id=1000000+o_custkey JOIN {nodes} b ON b.id=1000000+(o_custkey*7+1)%(SELECT count(*) FROM {customer}) WHERE a.is_test AND NOT b.is_test),
+tested AS (SELECT DISTINCT 'TESTED_BY' AS kind,a.qualified_name,b.qualified_name,a.file_path,CAST(1 AS BIGINT) FROM {orders} JOIN (SELECT count(*) AS n_cust FROM {customer}) cc ON true JOIN {nodes} a ON a.id=1000000+o_custkey JOIN {nodes} b ON b.id=1000000+(o_custkey*7+1)%n_cust WHERE a.is_test AND NOT b.is_test),
 imports AS (SELECT DISTINCT 'IMPORTS_FROM' AS kind,f.qualified_name,g.qualified_name,f.file_path,CAST(1 AS BIGINT) FROM {nodes} f JOIN {nodes} g ON g.id=(f.id*3)%25+1 WHERE f.kind='File' AND f.id<>g.id),
 contains AS (SELECT 'CONTAINS' AS kind,n.file_path,n.qualified_name,n.file_path AS fp2,CAST(1 AS BIGINT) FROM {nodes} n WHERE n.kind<>'File' AND n.parent_name IS NULL),
 u AS (SELECT * FROM calls UNION ALL SELECT * FROM bare UNION ALL SELECT * FROM tested UNION ALL SELECT * FROM imports UNION ALL SELECT * FROM contains)
