@@ -200,13 +200,14 @@ class Scorer:
             if len(self.known) > self.limit:
                 self.forget()
             fresh = {w for ws in lists for w in ws if w not in self.known}
-            if fresh and len(fresh) <= self.limit:
+            whole = len(fresh) <= self.limit
+            if fresh and whole:
                 self.learn(fresh)  # many words at once are cheaper
             for ws in lists:
                 if not ws:
                     out.append((UNDETERMINED, 0.0))
                     continue
-                total = self.total(ws)
+                total = self.table[[self.known[w] for w in ws]].sum(0) if whole and len(ws) <= self.limit else self.total(ws)
                 best = int(np.argmax(total))
                 out.append((self.languages[best], float(1 / np.exp(total - total[best]).sum())))
         return out
