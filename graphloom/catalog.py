@@ -212,6 +212,7 @@ _add("community_name", lambda c: C.community_name(c.nodes.filter("kind != 'File'
 _add("detect_communities", lambda c: C.communities_table(c.nodes.filter("kind != 'File'"), c.edges, C.file_communities(c.nodes))[0].select("id", "name", "size", "dominant_language", "description"), "SELECT community_id+1 AS id, 'r' || community_id || '-customer' AS name, count(*) AS size, 'python' AS dominant_language, 'Directory-based community: r' || community_id AS description FROM nodes WHERE kind<>'File' GROUP BY community_id")
 _add("community_summary", lambda c: C.community_summary(c.nodes, c.communities, 2).select("id", "name", "size", "qualified_name"), f", {_COMMUNITIES} SELECT communities.id, communities.name, size, m.qualified_name FROM communities, (SELECT qualified_name FROM nodes WHERE community_id=2 ORDER BY 1 LIMIT 20) m WHERE communities.id=2")
 _add("store_communities", lambda c: C.store_communities(c.nodes, c.communities, c.nodes.filter("kind != 'File'").select("qualified_name", "community_id"))[1].select("community_id", F.array_join("key_symbols", ",").alias("key_symbols"), "risk"), "SELECT community_id, string_agg(qualified_name, ',' ORDER BY qualified_name) AS key_symbols, 'unknown' AS risk FROM (SELECT community_id, qualified_name, row_number() OVER (PARTITION BY community_id ORDER BY qualified_name) AS r FROM nodes WHERE kind<>'File') WHERE r<=5 GROUP BY 1")
+_add("leiden_modularity", lambda c: C.modularity_communities(c.nodes, c.edges, rounds=6, levels=2))
 _add("leiden_label_propagation", lambda c: C.label_propagation(c.nodes, c.edges, 5))
 
 # writes
@@ -235,6 +236,7 @@ _add("cosine_similarity", lambda c: _cosine(c), "SELECT vec_id, round(list_cosin
 _add("vector_search", lambda c: _nearest(c), "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id=0))*1000000)/1000000 AS similarity FROM embeddings ORDER BY 2 DESC, 1 LIMIT 20", graph=False)
 _add("node_to_text", lambda c: _text_nodes(c).select("id", T.node_to_text().alias("text")), "SELECT id, concat_ws(' ', name, CASE WHEN trim(regexp_replace(name, '[_./\\-\\s]+', ' ', 'g'))<>name THEN trim(regexp_replace(name, '[_./\\-\\s]+', ' ', 'g')) END, CASE WHEN kind<>'File' THEN lower(kind) END, split_part(file_path,'/',2), language) AS text FROM nodes")
 _add("text_hash", lambda c: c.table("documents").select("doc_id", S.text_hash("text").alias("text_hash")), "SELECT doc_id, substr(sha256(text),1,16) AS text_hash FROM documents", graph=False)
+_add("vector_count", lambda c: T.vector_count(T.embed_nodes(c.nodes)), "SELECT count(*) AS n FROM nodes WHERE kind<>'File'")
 _add("embed_nodes", lambda c: T.embed_nodes(c.nodes).select("qualified_name", "text_hash", "provider", F.size("vector").alias("n")))
 
 # scalars

@@ -163,6 +163,18 @@ def get_vector(vectors: DataFrame, qualified_name: str) -> DataFrame:
     return vectors.filter(F.col("qualified_name") == qualified_name).select("vector")
 
 
+def vector_count(vectors: DataFrame, provider: str | None = None) -> DataFrame:
+    v = vectors.filter(F.col("provider") == provider) if provider else vectors
+    return v.agg(F.count(F.lit(1)).alias("n"))
+
+
+def minimal_context(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """The few columns that a reader needs to go on, in the order of the phrase rank; names are cleaned."""
+    hits = fts_search(nodes, query, limit).select("id", "score")
+    found = nodes.join(hits, "id").orderBy(F.desc("score"), "id")
+    return found.select(sanitize_name("name").alias("name"), sanitize_name("qualified_name").alias("qualified_name"), "kind", "file_path", "line_start")
+
+
 def node_to_text():
     """What is embedded of a node: dotted and bare name, its words, kind, parent, signature, directory, language."""
     name, parent = F.col("name"), F.col("parent_name")

@@ -76,7 +76,8 @@ class GraphService:
         hits = search.fts_search(self.nodes, query, limit)
         return hits.join(self.nodes, "id").orderBy(hits["score"].desc(), "id")
 
-    get_minimal_context = semantic_search_nodes
+    def get_minimal_context(self, query: str, limit: int = 20):
+        return search.minimal_context(self.nodes, query, limit)
 
     def keyword_search(self, query: str, limit: int = 20):
         return search.keyword_search(self.nodes, query, limit)

@@ -189,6 +189,41 @@ def test_search(spark):
     assert [(r.qualified_name, r.similarity) for r in T.vector_search(v, [1.0, 0.0]).collect()] == [("a", 1.0), ("b", 0.0), ("c", 0.0), ("d", 0.0)]
 
 
+def test_minimal_context_and_vector_count(spark):
+    n = nodes(spark, [{"name": "login"}, {"name": "logout"}])
+    got = T.minimal_context(n, "login")
+    assert got.columns == ["name", "qualified_name", "kind", "file_path", "line_start"] and [r.name for r in got.collect()] == ["login"]
+    v = spark.createDataFrame([("a", "p"), ("b", "q")], "qualified_name string, provider string")
+    assert T.vector_count(v).first().n == 2 and T.vector_count(v, "p").first().n == 1
+
+
+def _modularity(pairs, label):
+    """Of an undirected graph, by its definition."""
+    m, inner, degree = len(pairs), 0, {}
+    for a, b in pairs:
+        inner += label[a] == label[b]
+        degree[label[a]] = degree.get(label[a], 0) + 1
+        degree[label[b]] = degree.get(label[b], 0) + 1
+    return inner / m - sum((d / (2 * m)) ** 2 for d in degree.values())
+
+
+def test_modularity_finds_cliques(spark):
+    names = [f"{c}{i}" for c in "abcd" for i in range(5)]
+    pairs = [(q(x), q(y)) for x in names for y in names if x < y and x[0] == y[0]]
+    pairs += [(q("a0"), q("b0")), (q("b1"), q("c0")), (q("c1"), q("d0")), (q("d1"), q("a1"))]
+    n, e = nodes(spark, [{"name": x} for x in [*names, "alone"]]), edges(spark, [("CALLS", a, b) for a, b in pairs])
+    got = {r.qualified_name: r.group_key for r in C.modularity_communities(n, e).collect()}
+    assert set(got) == {q(x) for x in names}
+    groups = {}
+    for x, g in got.items():
+        groups.setdefault(g, set()).add(x)
+    assert sorted(map(sorted, groups.values())) == [[q(f"{c}{i}") for i in range(5)] for c in "abcd"]
+    links = spark.createDataFrame([(a, b, 1.0) for x, y in pairs for a, b in ((x, y), (y, x))], "a string, b string, w double")
+    labels = spark.createDataFrame(list(got.items()), "a string, label string")
+    assert C.modularity(links, labels) == pytest.approx(_modularity(pairs, got))
+    assert C.modularity_communities(n, e.limit(0)).count() == 0
+
+
 def test_embedding_is_incremental(spark):
     n = nodes(spark, [{"name": "getUser", "parent_name": "Repo", "params": "(x)", "return_type": "int", "file_path": "src/db/a.py"}])
     assert n.select(T.node_to_text().alias("t")).first().t == "Repo.getUser getUser get User function in Repo (x) returns int db python"

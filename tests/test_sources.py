@@ -1,6 +1,11 @@
+import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
 import pytest
 
 from graphloom.operators.store import Snapshots
+from graphloom.sources import encoders as E
 from graphloom.sources import registry
 from graphloom.sources.files import scan_files
 from graphloom.sources.parser import parse_text
@@ -93,3 +98,51 @@ def test_faulty_python_keeps_the_rest():
     assert {r["name"] for r in rows if r["record"] == "node"} >= {"f", "g"}
     deep = parse_text("a.py", "def f():\n    pass\nx = " + "+".join(["1"] * 30000) + "\n", "python")
     assert deep[0]["kind"] == "File"
+
+
+def test_provider_choice():
+    pick = E.provider_from_env
+    assert pick({}).name() == "local:hashing" and pick({}).available()
+    assert pick({"GOOGLE_API_KEY": "k"}).name() == "google:gemini-embedding-001"
+    assert pick({"GRAPHLOOM_EMBEDDING_PROVIDER": "OpenAI"}) is None and pick({"GRAPHLOOM_EMBEDDING_PROVIDER": "other"}) is None
+    p = pick({"GRAPHLOOM_OPENAI_API_KEY": "", "GRAPHLOOM_OPENAI_BASE_URL": "https://me:pw@Host:1/v1/embeddings/"})
+    assert p.name() == "openai:text-embedding-3-small@host:1/v1" and not p.available()
+    assert "pw" not in repr(p) and "secret" not in repr(pick({"MINIMAX_API_KEY": "secret"}))
+
+
+@pytest.fixture
+def service():
+    """A server in the manner of each provider; a text's vector is its length."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if "requests" in body:
+                answer = {"embeddings": [{"values": [len(r["content"]["parts"][0]["text"])]} for r in body["requests"]]}
+            elif "texts" in body:
+                answer = {"vectors": [[len(t)] for t in body["texts"]], "base_resp": {"status_code": int("fail" in body["texts"]), "status_msg": "no"}}
+            else:
+                answer = {"data": [{"index": i, "embedding": [len(t)]} for i, t in enumerate(body["input"])][::-1]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(answer).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/v1"
+    server.shutdown()
+
+
+@pytest.mark.parametrize("kind", ["openai", "google", "minimax"])
+def test_remote_encoders(spark, service, kind):
+    p = E.Provider(kind, "m", service, "k")
+    texts = ["x" * (i % 7) for i in range(E.BATCH * 2 + 3)]
+    assert E.encode_texts(p, texts) == [[len(t)] for t in texts]
+    df = spark.createDataFrame([("ab",), (None,)], "t string")
+    assert [list(r.v) for r in df.select(p.encoder()("t").alias("v")).collect()] == [[2.0], [0.0]]
+    if kind == "minimax":
+        with pytest.raises(RuntimeError):
+            E.encode_texts(p, ["fail"])
