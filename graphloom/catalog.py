@@ -202,7 +202,18 @@ _add("refactoring_suggestions", lambda c: R.refactoring_suggestions(c.nodes, c.e
 _add("suggested_questions", lambda c: R.suggested_questions(c.nodes, c.edges, c.communities, FN).select("question"), f", {_COMMUNITIES}, {_BRIDGE}, gaps AS (SELECT file_path FROM nodes WHERE kind IN ('Function','Test') AND NOT is_test AND qualified_name NOT IN (SELECT target_qualified FROM edges WHERE kind='TESTED_BY') ORDER BY CASE WHEN kind='Function' THEN 0 ELSE 1 END, id LIMIT 3), top AS (SELECT target_qualified AS t, count(*) AS n FROM edges WHERE kind='CALLS' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3), b3 AS (SELECT * FROM bridge WHERE cross_community_edges>0 ORDER BY bridge_score DESC, cross_community_edges DESC, qualified_name LIMIT 3) SELECT 'Which functions in `' || file_path || '` lack test coverage?' AS question FROM gaps UNION ALL SELECT 'What calls `' || nodes.name || '` and could affect system stability if it changes?' FROM top JOIN nodes ON qualified_name=t UNION ALL SELECT 'How does `' || b3.name || '` bridge `' || communities.name || '` to other parts of the codebase (' || cross_community_edges || ' cross-community connections)?' FROM b3 JOIN communities ON communities.id=community_id UNION ALL SELECT 'What is the impact radius of changes to `' || name || '`?' FROM nodes WHERE qualified_name='{FN}'")
 _add("rename_preview", lambda c: R.rename_preview(c.nodes, c.edges, FN, "renamed"), f", t AS (SELECT * FROM edges WHERE source_qualified='{FN}' OR target_qualified='{FN}') SELECT n.name AS old_name, 'renamed' AS new_name, (SELECT CAST(coalesce(sum((source_qualified='{FN}')::INT + (target_qualified='{FN}')::INT),0) AS BIGINT) FROM t) AS affected_edges_count, (SELECT string_agg(f, ',' ORDER BY f) FROM (SELECT DISTINCT file_path AS f FROM t UNION SELECT file_path FROM nodes WHERE qualified_name='{FN}')) AS files_to_update FROM nodes n WHERE n.qualified_name='{FN}'")
 _RENAMED = "src/r0/n10.py::renamed"
-_add("apply_rename", lambda c: _edges(R.apply_rename(c.nodes, c.edges, FN, "renamed")[1].filter(F.col("source_qualified").endswith("::renamed") | F.col("target_qualified").endswith("::renamed"))), f"SELECT id, kind, CASE WHEN source_qualified='{FN}' THEN '{_RENAMED}' ELSE source_qualified END AS source_qualified, CASE WHEN target_qualified='{FN}' THEN '{_RENAMED}' ELSE target_qualified END AS target_qualified, file_path, line FROM edges WHERE source_qualified='{FN}' OR target_qualified='{FN}'")
+
+
+def _rename(c: Context) -> DataFrame:
+    """Edges that a rename touched; a name that no node has is refused and touches none."""
+    try:
+        edges = R.apply_rename(c.nodes, c.edges, FN, "renamed")[1]
+    except R.UnknownNode:
+        return _edges(c.edges.limit(0))
+    return _edges(edges.filter(F.col("source_qualified").endswith("::renamed") | F.col("target_qualified").endswith("::renamed")))
+
+
+_add("apply_rename", _rename, f"SELECT id, kind, CASE WHEN source_qualified='{FN}' THEN '{_RENAMED}' ELSE source_qualified END AS source_qualified, CASE WHEN target_qualified='{FN}' THEN '{_RENAMED}' ELSE target_qualified END AS target_qualified, file_path, line FROM edges WHERE source_qualified='{FN}' OR target_qualified='{FN}'")
 
 # communities
 _add("file_communities", lambda c: C.file_communities(c.nodes), "SELECT qualified_name, split_part(file_path,'/',2) AS group_key FROM nodes WHERE kind<>'File'")

@@ -63,12 +63,16 @@ def rename_preview(nodes: DataFrame, edges: DataFrame, qualified_name: str, new_
     return node.select(F.col("name").alias("old_name"), F.lit(new_name).alias("new_name")).crossJoin(counts).crossJoin(files).select("old_name", "new_name", "affected_edges_count", F.array_join("files", ",").alias("files_to_update"))
 
 
+class UnknownNode(ValueError):
+    """A name that no node has."""
+
+
 def apply_rename(nodes: DataFrame, edges: DataFrame, qualified_name: str, new_name: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """(nodes, edges, counts) after a rename. A missing node or a name that is taken is an error and changes nothing."""
     node = nodes.filter(F.col("qualified_name") == qualified_name)
     target = node.select(make_qualified(kind=F.lit("Function"), parent="parent_name", name=F.lit(new_name)).alias("q")).first()
     if target is None:
-        raise ValueError(f"node not found: {qualified_name}")
+        raise UnknownNode(f"node not found: {qualified_name}")
     if target.q != qualified_name and not nodes.filter(F.col("qualified_name") == target.q).isEmpty():
         raise ValueError(f"name is taken: {target.q}")
     is_it = F.col("qualified_name") == qualified_name

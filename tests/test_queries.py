@@ -46,3 +46,13 @@ def test_embed_nodes_embeds_every_node(spark):
     every = catalog.queries()["projection_nodes"](spark, DIR).filter("kind != 'File'").select("qualified_name").distinct()
     got = catalog.queries()["embed_nodes"](spark, DIR)
     assert got.select("qualified_name").exceptAll(every).isEmpty() and every.exceptAll(got.select("qualified_name")).isEmpty()
+
+
+def test_rename_of_a_name_that_no_node_has_equals_sql(spark, tmp_path):
+    con = duckdb.connect()
+    for t in TABLES:
+        keep = "WHERE c_custkey <> 3" if t == "customer" else ""
+        con.execute(f"copy (select * from '{DIR}/{t}.parquet' {keep}) to '{tmp_path}/{t}.parquet'")
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    assert con.execute(catalog.oracle_sql()["apply_rename"]).fetchall() == []
+    assert catalog.queries()["apply_rename"](spark, str(tmp_path)).collect() == []
