@@ -80,11 +80,15 @@ def test_gaps(changed: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def analyze_changes(nodes: DataFrame, edges: DataFrame, flows: DataFrame, memberships: DataFrame, files: list[str], ranges: DataFrame | None = None, max_changed: int = MAX_CHANGED) -> dict[str, DataFrame]:
-    """changed_functions, affected_flows, test_gaps, review_priorities (top 10) and a one-row summary."""
+    """changed_functions, affected_flows, test_gaps, review_priorities (top 10) and a one-row summary.
+
+    ``max_changed`` bounds what is listed and summed up; priorities are chosen among all that changed.
+    """
     touched = change_overlap(nodes, ranges) if ranges is not None else nodes.filter(F.col("file_path").isin(files))
     scored_kinds = touched.filter(F.col("kind").isin(*SCORED_KINDS))
     changed = scored_kinds.orderBy("id").limit(max_changed)
-    risks = changed.join(risk_score(nodes, edges, flows, memberships, changed), "qualified_name").select("name", "qualified_name", "kind", F.col("file_path").alias("file"), "line_start", "line_end", "risk_score")
+    scored = lambda t: t.join(risk_score(nodes, edges, flows, memberships, t), "qualified_name").select("name", "qualified_name", "kind", F.col("file_path").alias("file"), "line_start", "line_end", "risk_score")
+    risks = scored(changed)
     hit = affected_flows(nodes, flows, memberships, files)
     gaps = test_gaps(changed, edges).select("name", "qualified_name", F.col("file_path").alias("file"), "line_start", "line_end", "id")
     names = gaps.groupBy("name").agg(F.min("id").alias("first")).orderBy("first").limit(5).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "name"))), lambda x: x["name"]), ", ").alias("untested"))
@@ -99,7 +103,7 @@ def analyze_changes(nodes: DataFrame, edges: DataFrame, flows: DataFrame, member
         F.when(F.col("functions_truncated"), F.lit(f"  - Warning: analysis capped at {max_changed} functions (raise max_changed to adjust)")),
     ]
     summary = numbers.withColumn("summary", F.concat_ws("\n", *lines))
-    return {"changed_functions": risks, "affected_flows": hit, "test_gaps": gaps.drop("id"), "review_priorities": risks.orderBy(F.desc("risk_score"), "qualified_name").limit(10), "summary": summary}
+    return {"changed_functions": risks, "affected_flows": hit, "test_gaps": gaps.drop("id"), "review_priorities": scored(scored_kinds).orderBy(F.desc("risk_score"), "qualified_name").limit(10), "summary": summary}
 
 
 def suffix_files(nodes: DataFrame, path: str) -> DataFrame:

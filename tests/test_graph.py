@@ -154,6 +154,14 @@ def test_risk_and_change_report(spark):
     assert K.analyze_changes(n, e, f, m, ["none"])["summary"].first().summary.endswith("0.00")
 
 
+def test_review_priorities_are_chosen_among_all_changes(spark):
+    n = nodes(spark, [{"name": "plain"}, {"name": "other"}, {"name": "auth_late"}])
+    e = edges(spark, [("CALLS", q("plain"), q("auth_late"))])
+    report = K.analyze_changes(n, e, *FL.detect_flows(n, e), ["src/f.py"], max_changed=1)
+    assert names(report["review_priorities"])[0] == q("auth_late") and report["review_priorities"].count() == 3
+    assert names(report["changed_functions"]) == [q("plain")]
+
+
 def test_flow_rules(spark):
     n = nodes(spark, [{"name": "main"}, {"name": "helper"}, {"name": "view", "extra": '{"decorators": ["app.get(\\"/\\")"]}'}])
     e = edges(spark, [("CALLS", q("main"), q("helper")), ("CALLS", q("helper"), q("view"))])
