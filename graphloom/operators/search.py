@@ -198,12 +198,13 @@ def node_to_text():
 def hashing_encoder(text, dimensions: int = 64):
     """A deterministic encoder in column functions: signed hashed bag of words, unit length."""
     zero = F.array_repeat(F.lit(0.0), dimensions)
-    bumped = F.aggregate(
-        tokens(text), zero,
-        lambda acc, w: F.transform(acc, lambda x, i: x + F.when(F.pmod(F.xxhash64(w), F.lit(dimensions)) == i, F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)),
-    )
-    norm = F.sqrt(F.aggregate(bumped, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(bumped, lambda x: F.when(norm == 0, 0.0).otherwise(x / norm).cast("float"))
+    # each word changes one place, and what is used again is a variable of a lambda: Spark would work an expression out
+    # anew at each of its uses
+    places = F.transform(tokens(text), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int").alias("i"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("by")))
+    bump = lambda acc, i, by: F.concat(F.slice(acc, 1, i), F.array(F.get(acc, i) + by), F.slice(acc, i + 2, F.lit(dimensions - 1) - i))
+    bumped = F.aggregate(places, zero, lambda acc, p: bump(acc, p["i"], p["by"]))
+    scaled = F.transform(F.array(bumped), lambda v: F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)).alias("norm")))
+    return F.get(F.transform(scaled, lambda s: F.transform(s["v"], lambda x: F.when(s["norm"] == 0, 0.0).otherwise(x / s["norm"]).cast("float"))), 0)
 
 
 def embed_nodes(nodes: DataFrame, stored: DataFrame | None = None, provider: str = "hashing", encoder=hashing_encoder) -> DataFrame:

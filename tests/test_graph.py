@@ -274,3 +274,10 @@ def test_lookups(spark):
     n = nodes(spark, [{"name": "a"}, {"name": "f.py", "kind": "File"}])
     assert names(L.review_context(n, ["zz", q("a")])) == [q("a")]
     assert L.get_files_matching(n, "F.PY").count() == 1
+
+
+def test_encoder_works_each_word_out_once(spark):
+    df = spark.createDataFrame([("one two two",), ("",), ("one",)], "t string").select(T.hashing_encoder(F.col("t")).alias("v"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 2
+    two, none, one = (r.v for r in df.collect())
+    assert set(none) == {0.0} and sorted(map(abs, one))[-2:] == [0.0, 1.0] and sum(x * x for x in two) == pytest.approx(1.0)
