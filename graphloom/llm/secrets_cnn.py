@@ -1,30 +1,35 @@
 """Secret scans: base recognisers plus a character convolutional network in numpy.
 
 Every candidate (a run of eight or more token characters) is scored with its surroundings: a long one by overlapping
-windows over all of it, of which the highest score counts. The network is trained on
-labelled findings of a bounded sample (``sample_docs`` documents, ``sample_each`` windows of either label): windows that
-hold a base finding are positive, other candidates negative. A held-out part calibrates the scores (logistic scaling)
-and sets the threshold: the most precise at which at least ``min_recall`` of held-out findings pass.
-
-Defined results: null text is empty text; a sample without any finding or any other candidate leaves the base spans
-alone, and one with fewer than ten of either trains and calibrates on all of it (both are logged); equal rows give equal rows; an empty table gives an empty table; columns other than doc_id and text are
-ignored; a candidate that overlaps a base span adds nothing.
+windows over all of it, of which the highest score counts. The network is trained on the windows of all documents: those
+that hold a base finding are positive, other candidates negative. A hash of the window holds every fifth out. Training
+starts from ``start_each`` windows of either label; then each task trains on all its windows, beginning with these weights,
+and the tasks' weights are averaged by their windows. What is held out in the whole table calibrates the scores (logistic
+scaling) and sets the threshold: the most precise at which at least ``min_recall`` of held-out findings pass. For that,
+scores are counted in steps of 1/256 of a logit.
+
+Defined results: null text is empty text; a table without any finding or any other candidate leaves the base spans
+alone, and one with fewer than ten of either trains and calibrates on all of it (both are logged); equal rows give equal
+rows and count as often as they occur; an empty table gives an empty table; columns other than doc_id and text are
+ignored; a candidate that overlaps a base span adds nothing. The weights depend on how the table is cut into tasks.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import heapq
 import itertools
 import logging
 import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_map
+from .runtime import arrow_map, discard, materialize
 
 LOG = logging.getLogger(__name__)
 KINDS = ("assign", "access", "hex")
@@ -37,6 +42,8 @@ LEFT, BODY, RIGHT, WIDTH, FILTERS = 24, 56, 8, 5, 24
 LENGTH = LEFT + BODY + RIGHT
 STEP, BLOCK = BODY // 2, 4096  # between the windows of a long candidate; windows scored at once
 ALPHABET = 98
+BINS = 256  # steps of a logit in which held-out scores are counted
+HASH = np.random.default_rng(3).integers(1, 2**63, LENGTH, dtype=np.uint64) | np.uint64(1)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -119,105 +126,271 @@ class Network:
         h = np.concatenate([z[rows, i, cols], z[rows, j, cols]], 1)
         return np.maximum(h, 0), np.concatenate([i, j], 1)
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        """Of windows in any order. Those of like length are taken together without most of the empty columns between
-        candidate and right side; ``WIDTH`` of these are kept, so the maxima are the same."""
+    def _scores(self, x: np.ndarray, where: bool = False):
+        """What ``_pooled`` gives of ``_maps``, place by place. Rows go by the length of their candidates, so the empty
+        columns behind these are looked at once a row: all their places have the same value."""
         used = np.count_nonzero(x[:, LEFT : LEFT + BODY], axis=1)
-        order, out = np.argsort(used, kind="stable"), np.zeros(len(x))
-        for a in range(0, len(x), 512):
-            rows = order[a : a + 512]
-            keep = min(BODY, int(used[rows[-1]]) + WIDTH)
-            part = np.concatenate([x[rows, : LEFT + keep], x[rows, LEFT + BODY :]], 1).astype(np.int64)
-            out[rows] = self._pooled(self._maps(part))[0] @ self.v + self.c
-        return out
+        order = np.argsort(-used, kind="stable")
+        lengths = -used[order]
+        codes = np.ascontiguousarray(x[order].T).astype(np.intp)
+        if where:  # one step of training: tables of pairs would not pay
+            tables, steps = [*self.e[:-1], self.e[-1] + self.b], range(WIDTH)
+        else:
+            pairs = [(self.e[k][:, None] + self.e[k + 1][None]).reshape(-1, FILTERS) for k in (0, 2)]
+            tables, steps, pair = [*pairs, self.e[4] + self.b], (0, 2, 4), codes[:-1] * ALPHABET + codes[1:]
+        h, at = np.empty((len(x), 2 * FILTERS)), np.zeros((len(x), 2 * FILTERS), dtype=np.intp)
+        cut, empty = LEFT - WIDTH + 1, LEFT + BODY - WIDTH
+        for half, (first, last) in enumerate(((0, cut), (cut, LENGTH - WIDTH + 1))):
+            best = place = None
+            for p in range(first, last):
+                n = int(np.searchsorted(lengths, LEFT - p, side="right")) if LEFT < p <= empty else len(x)
+                if not n:
+                    continue
+                z = tables[0].take((codes if where else pair)[p, :n], axis=0)
+                for k, table in zip(steps[1:], tables[1:], strict=True):
+                    z += table.take((codes if where or k == 4 else pair)[p + k, :n], axis=0)
+                if best is None:
+                    best, place = z, np.full(z.shape, p)
+                    continue
+                if where:
+                    np.copyto(place[:n], p, where=z > best[:n])
+                np.maximum(best[:n], z, out=best[:n])
+            cols = slice(half * FILTERS, (half + 1) * FILTERS)
+            h[order, cols], at[order, cols] = np.maximum(best, 0), place
+        return h, at
+
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        """Of windows in any order."""
+        parts = [self._scores(x[a : a + BLOCK])[0] @ self.v + self.c for a in range(0, len(x), BLOCK)]
+        return np.concatenate(parts) if parts else np.zeros(0)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -50, 50)))
 
+    def weights(self) -> np.ndarray:
+        return np.concatenate([self.e.ravel(), self.b, self.v, [self.c]])
+
+    def load(self, weights: np.ndarray) -> None:
+        n = self.e.size
+        self.e, self.b, self.v = weights[:n].reshape(self.e.shape).copy(), weights[n : n + FILTERS].copy(), weights[n + FILTERS : -1].copy()
+        self.c = float(weights[-1])
+
+    def step(self, state: list, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> None:
+        """One step by Adam; ``state`` is an empty list at first."""
+        params = [self.e, self.b, self.v]
+        if not state:
+            state += [[np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0]
+        h, where = self._scores(x, where=True)
+        p = 1 / (1 + np.exp(-np.clip(h @ self.v + self.c, -50, 50)))
+        d = (p - y) * weight / len(x)
+        gh = d[:, None] * self.v * (h > 0)
+        cols = np.tile(np.arange(FILTERS), 2)[None]
+        rows = np.arange(len(x))[:, None]
+        ge = np.stack([np.bincount((x[rows, where + k].astype(np.intp) * FILTERS + cols).ravel(), gh.ravel(), ALPHABET * FILTERS) for k in range(WIDTH)])
+        grads = [ge.reshape(self.e.shape) + 1e-4 * self.e, gh[:, :FILTERS].sum(0) + gh[:, FILTERS:].sum(0), h.T @ d + 1e-4 * self.v]
+        state[2] += 1
+        self.c -= rate * d.sum()
+        for p_, g, u, w in zip(params, grads, *state[:2], strict=True):
+            u += 0.1 * (g - u)
+            w += 0.001 * (g * g - w)
+            p_ -= rate * (u / (1 - 0.9 ** state[2])) / (np.sqrt(w / (1 - 0.999 ** state[2])) + 1e-8)
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 0.01, batch: int = 128, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
-        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-        params = [self.e, self.b, self.v]
-        m1, m2, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+        weight, state = balanced(y), []
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for a in range(0, len(x), batch):
                 rows = order[a : a + batch]
-                xb, yb = x[rows], y[rows]
-                h, where = self._pooled(self._maps(xb))
-                p = 1 / (1 + np.exp(-np.clip(h @ self.v + self.c, -50, 50)))
-                d = (p - yb) * weight[rows] / len(rows)
-                gh = d[:, None] * self.v * (h > 0)
-                ge = np.zeros_like(self.e)
-                cols = np.tile(np.arange(FILTERS), 2)[None]
-                for k in range(WIDTH):
-                    chars = xb[np.arange(len(rows))[:, None], where + k]
-                    np.add.at(ge[k], (chars, np.broadcast_to(cols, chars.shape)), gh)
-                grads = [ge + 1e-4 * self.e, gh[:, :FILTERS].sum(0) + gh[:, FILTERS:].sum(0), h.T @ d + 1e-4 * self.v]
-                t += 1
-                self.c -= rate * d.sum()
-                for p_, g, u, w in zip(params, grads, m1, m2, strict=True):
-                    u += 0.1 * (g - u)
-                    w += 0.001 * (g * g - w)
-                    p_ -= rate * (u / (1 - 0.9**t)) / (np.sqrt(w / (1 - 0.999**t)) + 1e-8)
+                self.step(state, x[rows], y[rows], weight[rows], rate)
+
+    def go_on(self, blocks, start_x: np.ndarray, start_y: np.ndarray, rate: float = 0.001, batch: int = 512, beside: int = 64, seed: int = 13) -> int:
+        """Train on every window of the blocks (x, y) once; returns how many these were. Beside each part stand windows
+        of either label: those of the start, which give way to what is read."""
+        rng, state, n = np.random.default_rng(seed), [], 0
+        known = [start_x[start_y == label] for label in (0, 1)]
+        for x, y in blocks:
+            order = rng.permutation(len(x))
+            for rows in np.array_split(order, -(-len(x) // batch)):
+                others = [k[rng.integers(0, len(k), beside)] for k in known]
+                bx, by = np.concatenate([x[rows], *others]), np.r_[y[rows], np.zeros(beside), np.ones(beside)]
+                self.step(state, bx, by, balanced(by), rate)
+            n += len(x)
+            known = [np.concatenate([k, x[y == label][-len(k) :]])[-len(k) :] for label, k in enumerate(known)]
+        return n
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, min_recall: float) -> None:
+        self.calibrate_counts(self.logits(x), y, np.ones(len(y)), min_recall)
+
+    def calibrate_counts(self, z: np.ndarray, y: np.ndarray, n: np.ndarray, min_recall: float, width: float = 0.0) -> None:
         """Logistic scaling of the logits, then, of the thresholds at held-out findings' scores that keep ``min_recall``
         of them, the lowest of those with the best precision. The lowest score keeps all, so there always is one. The
-        threshold is set half way (in logits) to the next lower held-out score, which changes nothing on these."""
-        z = self.logits(x)
+        threshold is set half way (in logits) to the next lower held-out score, which changes nothing on these.
+        A row stands for ``n`` windows of label y with logits from z up to less than z + width."""
         a, b = 1.0, 0.0
         for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -50, 50)))
-            d = (p - y) / len(y)
+            d = (p - y) * n / n.sum()
             a, b = a - 0.1 * ((d * z).sum() + 0.001 * (a - 1)), b - 0.5 * d.sum()
         self.scale, self.shift = max(a, 1e-3), b
-        best = None
-        for t in np.unique(z[y == 1]):
-            found = z >= t
-            recall, precision = float(found[y == 1].mean()), float(y[found].mean())
-            if recall >= min_recall and (best is None or precision > best[1]):
-                best = (float(t), precision, recall)
-        cut, self.precision, self.recall = best
-        cut = (cut + z[z < cut].max(initial=-np.inf)) / 2 if (z < cut).any() else cut
+        scores, at = np.unique(z, return_inverse=True)
+        passing = lambda w: np.bincount(at, w, len(scores))[::-1].cumsum()[::-1]
+        good, every = passing(n * (y == 1)), passing(n)
+        recall, precision = good / good[0], good / every
+        own = np.bincount(at, n * (y == 1), len(scores)) > 0
+        i = int(np.flatnonzero(own & (recall >= min_recall) & (precision == precision[own & (recall >= min_recall)].max()))[0])
+        cut, self.precision, self.recall = scores[i], float(precision[i]), float(recall[i])
+        cut = (cut + min(cut, scores[i - 1] + width)) / 2 if i else cut
         self.threshold = float(1 / (1 + np.exp(-np.clip(self.scale * cut + self.shift, -50, 50))))
 
 
-def train(docs: DataFrame, sample_docs: int = 8000, sample_each: int = 1500, min_recall: float = 0.95) -> Network | None:
-    """Train on windows from about ``sample_docs`` documents (a hash of the row picks them), at most ``sample_each`` a
-    label; a fifth of them only calibrates."""
-    n = docs.count()
-    every = max(1, n // sample_docs)
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text")
+def balanced(y: np.ndarray) -> np.ndarray:
+    """Weights by which either label counts half."""
+    return np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+
+
+def hashes(x: np.ndarray) -> np.ndarray:
+    """A number of each window by its content."""
+    mixed = (x.astype(np.uint64) * HASH).sum(1, dtype=np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed >> np.uint64(12)
+
+
+def held_out(h: np.ndarray) -> np.ndarray:
+    return h % np.uint64(5) == 0
+
+
+def labelled(batches):
+    """(windows, labels) of all texts, in blocks."""
+    xs, ys, n = [], [], 0
+    for rb in batches:
+        for v in rb.column("text"):
+            text = v.as_py() or ""
+            base = base_spans(text)
+            spans = [p for c in candidates(text) for p in pieces(*c)]
+            if not spans:
+                continue
+            codes, taken = coded(text), Spans(base)
+            for i in range(0, len(spans), BLOCK):
+                part = spans[i : i + BLOCK]
+                xs.append(windows(codes, part))
+                ys.append(np.array([taken.overlap(*p) for p in part], dtype=float) if base else np.zeros(len(part)))
+                n += len(part)
+                if n >= BLOCK:
+                    yield np.concatenate(xs), np.concatenate(ys)
+                    xs, ys, n = [], [], 0
+    if n:
+        yield np.concatenate(xs), np.concatenate(ys)
+
+
+def beginning(texts: DataFrame, each: int) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    """Different windows with the lowest hashes, up to ``each`` of a label, their labels, and how many windows the table
+    has of label 0 and 1."""
+
+    def lowest(batches):
+        kept, counts = ({}, {}), [0, 0]
+        for x, y in labelled(batches):
+            h = hashes(x)
+            for label in (0, 1):
+                rows = np.flatnonzero(y == label)
+                counts[label] += len(rows)
+                rows = rows[np.argsort(h[rows], kind="stable")[: 4 * each]]
+                if len(kept[label]) >= each:
+                    rows = rows[h[rows] < max(kept[label].values())]
+                kept[label].update((x[i].tobytes(), int(h[i])) for i in rows)
+                if len(kept[label]) > each:
+                    few = heapq.nsmallest(each, kept[label].items(), key=lambda r: (r[1], r[0]))
+                    kept[label].clear()
+                    kept[label].update(few)
+        for label in (0, 1):
+            if counts[label]:
+                rows = list(kept[label].items())
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(rows), pa.int32()), pa.array([h for _, h in rows], pa.int64()), pa.array([x for x, _ in rows], pa.binary()), pa.array([counts[label]] + [0] * (len(rows) - 1), pa.int64())], names=["label", "h", "x", "n"])
+
+    found = materialize(arrow_map(texts, lowest, "label int, h long, x binary, n long"), "secrets")
+    n = {r.label: r.n for r in found.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    once = found.select("label", "h", "x").dropDuplicates()
+    rows = [r for y in (0, 1) for r in once.filter(F.col("label") == y).orderBy("h", "x").limit(each).collect()]
+    discard(found)
+    x = np.array([np.frombuffer(bytes(r.x), dtype=np.uint8) for r in rows], dtype=np.uint8).reshape(-1, LENGTH)
+    return x, np.array([r.label for r in rows], dtype=float), (n.get(0, 0), n.get(1, 0))
+
+
+def over_all(texts: DataFrame, net: Network, x: np.ndarray, y: np.ndarray, everything: bool) -> None:
+    """Go on from the network's weights over all windows (without the held-out ones, unless ``everything``)."""
+    model = texts.sparkSession.sparkContext.broadcast((net, x, y))  # a fixed number of weights and windows
 
-    def labelled(batches):
-        for rb in batches:
-            for v in rb.column("text"):
-                text = v.as_py() or ""
-                codes, taken = coded(text), Spans(base_spans(text))
-                spans = [p for c in candidates(text) for p in pieces(*c)]
-                for i in range(0, len(spans), BLOCK):
-                    part = spans[i : i + BLOCK]
-                    xs = [x.tobytes() for x in windows(codes, part)]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(taken.overlap(*p)) for p in part], pa.int32()), pa.array(xs, pa.binary())], names=["label", "x"])
-
-    found = arrow_map(sample, labelled, "label int, x binary").dropDuplicates()
-    rows = [r for y in (0, 1) for r in found.filter(F.col("label") == y).orderBy(F.xxhash64("x"), "x").limit(sample_each).collect()]
-    y = np.array([r.label for r in rows], dtype=float)
-    if not (y == 1).any() or not (y == 0).any():
-        LOG.warning("no network: the sample holds %d findings and %d other candidates", (y == 1).sum(), (y == 0).sum())
+    def run(batches):
+        net, x, y = model.value
+        own = Network()
+        own.load(net.weights())
+        picked = ((bx[k], by[k]) for bx, by in labelled(batches) if (k := np.ones(len(by), dtype=bool) if everything else ~held_out(hashes(bx))).any())
+        if n := own.go_on(picked, x, y):
+            yield row(TaskContext.get().partitionId(), n, own.weights() * n)
+
+    def row(part, n, weights):
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([weights.tobytes()], pa.binary())], names=["part", "n", "w"])
+
+    def added(rows):  # in the order of the tasks, so sums agree in every run
+        rows = sorted(rows)
+        return rows[0][0], sum(n for _, n, _ in rows), sum(np.frombuffer(w) for _, _, w in rows)
+
+    def merge(batches):
+        rows = [(r["part"], r["n"], r["w"]) for rb in batches for r in rb.to_pylist()]
+        if rows:
+            yield row(*added(rows))
+
+    schema = "part int, n long, w binary"
+    sums = arrow_map(arrow_map(texts, run, schema).repartition(8, "part"), merge, schema).collect()
+    if sums:
+        _, n, total = added([(r.part, r.n, bytes(r.w)) for r in sums])
+        net.load(total / n)
+
+
+def counted_scores(texts: DataFrame, net: Network, everything: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(logit, label, number) of the held-out windows of all texts, logits rounded down to steps of 1 / ``BINS``."""
+    model = texts.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches):
+        net, sums = model.value, {}
+        for x, y in labelled(batches):
+            if not everything:
+                keep = held_out(hashes(x))
+                x, y = x[keep], y[keep]
+            if len(x):
+                bins = np.floor(np.clip(net.logits(x), -100, 100) * BINS).astype(np.int64)
+                for label in (0, 1):
+                    for k, n in zip(*(v.tolist() for v in np.unique(bins[y == label], return_counts=True)), strict=True):
+                        sums[label, k] = sums.get((label, k), 0) + n
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int64()), pa.array(list(sums.values()), pa.int64())], names=["label", "bin", "n"])
+
+    rows = arrow_map(texts, run, "label int, bin long, n long").groupBy("label", "bin").agg(F.sum("n").alias("n")).collect()
+    rows = np.array(sorted((r.bin, r.label, r.n) for r in rows), dtype=float).reshape(-1, 3)
+    return rows[:, 0] / BINS, rows[:, 1], rows[:, 2]
+
+
+def train(docs: DataFrame, start_each: int = 1500, min_recall: float = 0.95) -> Network | None:
+    """Train on the windows of all documents; a fifth of them only calibrates."""
+    texts = docs.select("text")
+    x, y, totals = beginning(texts, start_each)
+    if not all(totals):
+        LOG.warning("no network: the table holds %d findings and %d other candidates", totals[1], totals[0])
         return None
-    x = np.stack([np.frombuffer(bytes(r.x), dtype=np.uint8) for r in rows]).astype(np.int64)
-    held = np.zeros(len(y), dtype=bool)
-    for label in (0, 1):
-        held[np.flatnonzero(y == label)[::5]] = True
-    few = min((y == 1).sum(), (y == 0).sum()) < 10
-    fit, rest = (np.ones_like(held), np.ones_like(held)) if few else (~held, held)
+    fit = ~held_out(hashes(x))
+    few = min(totals) < 10 or any(not (fit & (y == label)).any() for label in (0, 1))
+    if few:
+        fit[:] = True
     net = Network()
     net.fit(x[fit], y[fit])
-    net.calibrate(x[rest], y[rest], min_recall)
+    if max(totals) > start_each:  # else the start holds every window
+        over_all(texts, net, x[fit], y[fit], few)
+    z, label, n = counted_scores(texts, net, few)
+    if not few and len(set(label)) < 2:
+        few, (z, label, n) = True, counted_scores(texts, net, True)
+    net.calibrate_counts(z, label, n, min_recall, 1 / BINS)
     report = "threshold %.4f: recall %.3f, precision %.3f of %d findings and %d other candidates " + ("that it was also trained on" if few else "held out")
-    LOG.log(logging.WARNING if few else logging.INFO, report, net.threshold, net.recall, net.precision, (y[rest] == 1).sum(), (y[rest] == 0).sum())
+    LOG.log(logging.WARNING if few else logging.INFO, report, net.threshold, net.recall, net.precision, n[label == 1].sum(), n[label == 0].sum())
     return net
 
 

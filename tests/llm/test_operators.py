@@ -585,6 +585,26 @@ def test_secret_network_of_few_findings(spark):
     assert net is not None and net.threshold <= 1 and net.recall == 1.0
 
 
+def test_secret_network_learns_from_every_document(spark):
+    plain = [(i, f"page-{i:06d}.html") for i in range(16000)]
+    secret = [(16000 + i, f"token = {hashlib.sha1(str(i).encode()).hexdigest()}") for i in range(80)]
+    odd = table(spark, secret).filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)) == 1)  # what one document in two left out
+    docs = table(spark, plain).unionByName(odd)
+    net = secrets_cnn.train(docs)
+    assert net is not None and net.recall >= 0.95 and net.precision > 0.9
+    assert secrets_cnn.beginning(docs.select("text"), 50)[2] == (16000, odd.count())
+
+
+def test_secret_scores_place_by_place():
+    rng = np.random.default_rng(4)
+    x = rng.integers(1, secrets_cnn.ALPHABET, (300, secrets_cnn.LENGTH), dtype=np.uint8)
+    for row, n in zip(x, rng.integers(8, secrets_cnn.BODY + 1, 300), strict=True):
+        row[secrets_cnn.LEFT + n : secrets_cnn.LEFT + secrets_cnn.BODY] = 0
+    net = secrets_cnn.Network()
+    want = net._pooled(net._maps(x.astype(np.int64)))
+    assert np.allclose(net._scores(x)[0], want[0]) and np.allclose(net._scores(x, True)[0], want[0]) and ((net._scores(x, True)[1] == want[1]) | (want[0] == 0)).all()
+
+
 def test_secret_windows_cover_every_candidate():
     text = "see /api/v1/" + "long/" * 40 + "cfg/key.name.abcdefgh and correct-horse or pwd=hunter2x é"
     found = [text[a:b] for a, b in secrets_cnn.candidates(text)]
