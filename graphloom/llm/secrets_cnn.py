@@ -46,14 +46,16 @@ BINS = 256  # steps of a logit in which held-out scores are counted
 HASH = np.random.default_rng(3).integers(1, 2**63, LENGTH, dtype=np.uint64) | np.uint64(1)
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of the base findings, sorted."""
+def base_spans(text: str, runs: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of the base findings, sorted. ``runs`` are the text's candidates, if these are known: a
+    hex finding lies within one of 32 characters or more."""
     found = []
     if "=" in text or ":" in text:
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    for a, b in [(0, len(text))] if runs is None else [r for r in runs if r[1] - r[0] >= 32]:
+        found += [(m.start(), 2, m.end()) for m in HEX.finditer(text, a, b)]
     found.sort()
     return found
 
@@ -126,18 +128,19 @@ class Network:
         h = np.concatenate([z[rows, i, cols], z[rows, j, cols]], 1)
         return np.maximum(h, 0), np.concatenate([i, j], 1)
 
-    def _scores(self, x: np.ndarray, where: bool = False):
-        """What ``_pooled`` gives of ``_maps``, place by place. Rows go by the length of their candidates, so the empty
+    def _pairs(self, kind=float) -> list[np.ndarray]:
+        """What the first and second, third and fourth, and the last character of a place add."""
+        e = self.e.astype(kind)
+        return [*((e[k][:, None] + e[k + 1][None]).reshape(-1, FILTERS) for k in (0, 2)), (self.e[4] + self.b).astype(kind)]
+
+    def _scores(self, x: np.ndarray, where: bool = False, tables: list[np.ndarray] | None = None):
+        """What ``_pooled`` gives of ``_maps``, place by place (``where``: for a step, in single precision). Rows go by the length of their candidates, so the empty
         columns behind these are looked at once a row: all their places have the same value."""
         used = np.count_nonzero(x[:, LEFT : LEFT + BODY], axis=1)
         order = np.argsort(-used, kind="stable")
         lengths = -used[order]
         codes = np.ascontiguousarray(x[order].T).astype(np.intp)
-        if where:  # one step of training: tables of pairs would not pay
-            tables, steps = [*self.e[:-1], self.e[-1] + self.b], range(WIDTH)
-        else:
-            pairs = [(self.e[k][:, None] + self.e[k + 1][None]).reshape(-1, FILTERS) for k in (0, 2)]
-            tables, steps, pair = [*pairs, self.e[4] + self.b], (0, 2, 4), codes[:-1] * ALPHABET + codes[1:]
+        tables, pair = tables or self._pairs(np.float32 if where else float), codes[:-1] * ALPHABET + codes[1:]
         h, at = np.empty((len(x), 2 * FILTERS)), np.zeros((len(x), 2 * FILTERS), dtype=np.intp)
         cut, empty = LEFT - WIDTH + 1, LEFT + BODY - WIDTH
         for half, (first, last) in enumerate(((0, cut), (cut, LENGTH - WIDTH + 1))):
@@ -146,23 +149,27 @@ class Network:
                 n = int(np.searchsorted(lengths, LEFT - p, side="right")) if LEFT < p <= empty else len(x)
                 if not n:
                     continue
-                z = tables[0].take((codes if where else pair)[p, :n], axis=0)
-                for k, table in zip(steps[1:], tables[1:], strict=True):
-                    z += table.take((codes if where or k == 4 else pair)[p + k, :n], axis=0)
+                z = tables[0].take(pair[p, :n], axis=0)
+                z += tables[1].take(pair[p + 2, :n], axis=0)
+                z += tables[2].take(codes[p + 4, :n], axis=0)
                 if best is None:
-                    best, place = z, np.full(z.shape, p)
+                    best, place = z, np.full(z.shape, p, dtype=np.uint8)
                     continue
-                if where:
-                    np.copyto(place[:n], p, where=z > best[:n])
+                if where:  # later places have higher numbers
+                    np.maximum(place[:n], (z > best[:n]).view(np.uint8) * np.uint8(p), out=place[:n])
                 np.maximum(best[:n], z, out=best[:n])
             cols = slice(half * FILTERS, (half + 1) * FILTERS)
             h[order, cols], at[order, cols] = np.maximum(best, 0), place
         return h, at
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        """Of windows in any order."""
-        parts = [self._scores(x[a : a + BLOCK])[0] @ self.v + self.c for a in range(0, len(x), BLOCK)]
-        return np.concatenate(parts) if parts else np.zeros(0)
+        """Of windows in any order; those of like length are taken together."""
+        order, out = np.argsort(np.count_nonzero(x[:, LEFT : LEFT + BODY], axis=1), kind="stable"), np.zeros(len(x))
+        tables = self._pairs()
+        for a in range(0, len(x), 1024):
+            rows = order[a : a + 1024]
+            out[rows] = self._scores(x[rows], tables=tables)[0] @ self.v + self.c
+        return out
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -50, 50)))
@@ -204,7 +211,7 @@ class Network:
                 rows = order[a : a + batch]
                 self.step(state, x[rows], y[rows], weight[rows], rate)
 
-    def go_on(self, blocks, start_x: np.ndarray, start_y: np.ndarray, rate: float = 0.001, batch: int = 512, beside: int = 64, seed: int = 13) -> int:
+    def go_on(self, blocks, start_x: np.ndarray, start_y: np.ndarray, rate: float = 0.001, batch: int = 1024, beside: int = 64, seed: int = 13) -> int:
         """Train on every window of the blocks (x, y) once; returns how many these were. Beside each part stand windows
         of either label: those of the start, which give way to what is read."""
         rng, state, n = np.random.default_rng(seed), [], 0
@@ -266,8 +273,9 @@ def labelled(batches):
     for rb in batches:
         for v in rb.column("text"):
             text = v.as_py() or ""
-            base = base_spans(text)
-            spans = [p for c in candidates(text) for p in pieces(*c)]
+            runs = candidates(text)
+            base = base_spans(text, runs)
+            spans = [p for c in runs for p in ((c,) if c[1] - c[0] <= BODY else pieces(*c))]
             if not spans:
                 continue
             codes, taken = coded(text), Spans(base)
@@ -418,12 +426,13 @@ def scan(docs: DataFrame, net: Network | None) -> DataFrame:
 
             for i, v in enumerate(rb.column("text")):
                 text = v.as_py() or ""
-                base = base_spans(text)
+                runs = candidates(text)
+                base = base_spans(text, runs)
                 rows.append([base, set()])
                 if net is None:
                     continue
                 codes, taken = coded(text), Spans(base)
-                spans = [(p, c) for c in candidates(text) if not taken.overlap(*c) for p in pieces(*c)]
+                spans = [(p, c) for c in runs if not taken.overlap(*c) for p in ((c,) if c[1] - c[0] <= BODY else pieces(*c))]
                 for a in range(0, len(spans), BLOCK):
                     part = spans[a : a + BLOCK]
                     todo.append(windows(codes, [p for p, _ in part]))
