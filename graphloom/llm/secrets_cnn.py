@@ -43,7 +43,7 @@ LENGTH = LEFT + BODY + RIGHT
 STEP, BLOCK = BODY // 2, 4096  # between the windows of a long candidate; windows scored at once
 ALPHABET = 98
 BINS = 256  # steps of a logit in which held-out scores are counted
-HASH = np.random.default_rng(3).integers(1, 2**63, LENGTH, dtype=np.uint64) | np.uint64(1)
+HASH = np.random.default_rng(3).integers(1, 2**63, LENGTH // 8, dtype=np.uint64) | np.uint64(1)
 
 
 def base_spans(text: str, runs: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
@@ -96,9 +96,10 @@ def windows(codes: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     """The pieces with their surroundings as rows of ``LENGTH`` codes."""
     at = np.array(spans, dtype=np.int64).reshape(-1, 2)
     out = np.empty((len(at), LENGTH), dtype=np.uint8)
-    body = np.arange(LEFT + BODY)
-    out[:, : LEFT + BODY] = np.where(body < LEFT + (at[:, 1] - at[:, 0])[:, None], codes[at[:, :1] + body], 0)
-    out[:, LEFT + BODY :] = codes[LEFT + at[:, 1:] + np.arange(RIGHT)]
+    cut = lambda n: np.lib.stride_tricks.as_strided(codes, (len(codes) - n + 1, n), (1, 1), writeable=False)
+    out[:, : LEFT + BODY] = cut(LEFT + BODY)[at[:, 0]]
+    out[:, LEFT : LEFT + BODY] *= np.arange(BODY, dtype=np.uint8) < (at[:, 1] - at[:, 0]).astype(np.uint8)[:, None]
+    out[:, LEFT + BODY :] = cut(RIGHT)[LEFT + at[:, 1]]
     return out
 
 
@@ -258,7 +259,7 @@ def balanced(y: np.ndarray) -> np.ndarray:
 
 def hashes(x: np.ndarray) -> np.ndarray:
     """A number of each window by its content."""
-    mixed = (x.astype(np.uint64) * HASH).sum(1, dtype=np.uint64)
+    mixed = (np.ascontiguousarray(x).view(np.uint64) * HASH).sum(1, dtype=np.uint64)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return mixed >> np.uint64(12)
 
@@ -420,9 +421,9 @@ def scan(docs: DataFrame, net: Network | None) -> DataFrame:
 
             def score():
                 p = net.probabilities(np.concatenate(todo))
-                for (i, s, e), good in zip(owner, p >= net.threshold, strict=True):
-                    if good:
-                        rows[i][1].add((s, e))
+                for at in np.flatnonzero(p >= net.threshold):
+                    i, s, e = owner[at]
+                    rows[i][1].add((s, e))
 
             for i, v in enumerate(rb.column("text")):
                 text = v.as_py() or ""
@@ -432,7 +433,7 @@ def scan(docs: DataFrame, net: Network | None) -> DataFrame:
                 if net is None:
                     continue
                 codes, taken = coded(text), Spans(base)
-                spans = [(p, c) for c in runs if not taken.overlap(*c) for p in ((c,) if c[1] - c[0] <= BODY else pieces(*c))]
+                spans = [(p, c) for c in runs if not (base and taken.overlap(*c)) for p in ((c,) if c[1] - c[0] <= BODY else pieces(*c))]
                 for a in range(0, len(spans), BLOCK):
                     part = spans[a : a + BLOCK]
                     todo.append(windows(codes, [p for p, _ in part]))
